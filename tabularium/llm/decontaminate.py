@@ -54,7 +54,7 @@ def clean(text: str | None) -> str:
 def grams(points: np.ndarray) -> np.ndarray:
     """A hash of each of the q-grams of a row of code points."""
     h, have, out, done = points.astype(np.uint64), 1, None, 0
-    power = _BASE
+    power = int(_BASE)
     rest = Q
     while True:
         if rest & 1:
@@ -62,13 +62,13 @@ def grams(points: np.ndarray) -> np.ndarray:
                 out, done = h, have
             else:
                 n = len(out) - have
-                out = out[:n] * power + h[done : done + n]
+                out = out[:n] * np.uint64(power) + h[done : done + n]
                 done += have
         rest >>= 1
         if not rest:
             break
-        h = h[: len(h) - have] * power + h[have:]
-        power = power * power
+        h = h[: len(h) - have] * np.uint64(power) + h[have:]
+        power = power * power % (1 << 64)
         have *= 2
     out = out * _MIX
     return out ^ (out >> np.uint64(29))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, language_id, license_scan, packing, simhash
+from . import chat, decontaminate, language_id, license_scan, packing, pivot_topk, quality, simhash
 from .common import fold, table
 
 
@@ -22,6 +22,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_all(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "phrase_rate")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score_all(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -43,8 +53,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_simhash, op6_license_scan, op7_language_id, op9_packing)}
+    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_simhash, op5_pivot_topk, op6_license_scan, op7_language_id, op8_quality, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL}
+    return {"op2_chat": chat.SQL, "op5_pivot_topk": pivot_topk.SQL}
