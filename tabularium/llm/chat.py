@@ -55,14 +55,14 @@ with held as (
   select conv_id, list({'turn': turn, 'role': role, 'text': text} order by turn nulls first, role nulls first, text nulls first) as turns
   from conversations where conv_id is not null group by conv_id
 ), keyed as (
-  select conv_id, turns, list_transform(turns, t -> {'role': t.role, 'text': t.text}) as said from held
+  select conv_id, turns, list_transform(turns, lambda t: {'role': t.role, 'text': t.text}) as said from held
 ), firsts as (
   select min(conv_id) as conv_id, said from keyed group by said
 ), prefixes as (
   select distinct list_slice(said, 1, k) as said from (select said, unnest(range(1, len(said))) as k from keyed)
 )
 select f.conv_id, cast(len(k.turns) as bigint) as n_turns,
-  array_to_string(list_transform(k.turns, t -> '<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>'), chr(10)) as text
+  array_to_string(list_transform(k.turns, lambda t: '<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>'), chr(10)) as text
 from firsts f join keyed k using (conv_id)
 where not exists (select 1 from prefixes p where p.said = f.said)
 """

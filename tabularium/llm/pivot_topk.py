@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut
 
 PIVOTS, BLOCK, CHUNK = 24, 4096, 256
-#: Largest component that keeps a sum of products exact in doubles, for lengths up to 2^13.
-LARGEST = 1 << 20
+#: Sums of products below this are exact in doubles; beyond it they are taken in 64-bit integers.
+EXACT = 1 << 52
 
 _SCHEMA = "query_id long, vec_id long, score long"
 
@@ -44,7 +44,9 @@ class Pivots:
     """A block's distances to its pivots, which are spread out by taking the farthest from those taken."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
+        self.whole = x
+        self.exact = not len(x) or float(np.abs(x).max()) ** 2 * x.shape[1] < EXACT
+        x = self.x = x.astype(np.float64)
         self.norms = np.einsum("ij,ij->i", x, x)
         chosen, far = [0], None
         while True:
@@ -65,32 +67,26 @@ class Pivots:
         """No score of q with a row of the block is greater; rounding is allowed for."""
         low = np.abs(self.table - self.distance(self.pivots, q)[:, None]).max(axis=0)
         low = np.maximum(low * (1 - 1e-9) - 1e-6, 0)
-        return (q @ q + self.norms - low * low) / 2 + 1e-6 * (1 + self.norms)
+        return (q @ q + self.norms - low * low) / 2 + 1e-9 * (1 + q @ q + self.norms)
 
     def best(self, q: np.ndarray, own: int, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, ties to the smaller id, and ``own`` left out."""
-        bound = self.bounds(q)
+        bound = self.bounds(q.astype(np.float64))
+        exact = self.exact and float(np.abs(q).max()) ** 2 * len(q) < EXACT
         bound[ids == own] = -np.inf
         order = np.argsort(-bound, kind="stable")
-        got_ids, got = np.zeros(0, dtype=np.int64), np.zeros(0)
+        got_ids, got = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for at in range(0, len(order), CHUNK):
             some = order[at : at + CHUNK]
             some = some[bound[some] > -np.inf]
             if not len(some) or len(got) >= k and bound[some[0]] < got[k - 1]:
                 break
-            got_ids, got = np.r_[got_ids, ids[some]], np.r_[got, self.x[some] @ q]
+            got_ids, got = np.r_[got_ids, ids[some]], np.r_[got, (self.x[some] @ q.astype(np.float64)).astype(np.int64) if exact else self.whole[some] @ q]
             top = np.lexsort((got_ids, -got))[:k]
             got_ids, got = got_ids[top], got[top]
         return got_ids, got
 
 
-def _matrix(rows: list, size: int) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64).reshape(-1, size)
-    if len(x) and np.abs(x).max() * np.sqrt(size / 64) > LARGEST * 64:
-        raise OverflowError("components are too large for exact inner products")
-    return x
-
-
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest inner products with the other rows."""
     held = cut(quantised(vectors, scale))
@@ -100,14 +96,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     cell = F.pmod(F.xxhash64("vec_id", "v"), F.lit(across))
     row = F.pmod(F.xxhash64("v", "vec_id"), F.lit(down))
     size = F.size("v").alias("size")
-    candidates = held.select(cell.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).cast("long").alias("r"), size, F.lit(False).alias("query"), "vec_id", "v")
-    asked = held.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long").alias("c"), row.alias("r"), size, F.lit(True).alias("query"), "vec_id", "v")
+    candidates = held.select(cell.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("r"), size, F.lit(False).alias("query"), "vec_id", "v")
+    asked = held.where(is_query).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("c"), row.alias("r"), size, F.lit(True).alias("query"), "vec_id", "v")
 
     def run(t: pa.Table) -> pa.Table:
         query = t.column("query").to_numpy().astype(bool)
         ids = t.column("vec_id").to_numpy()
         size = t.column("size")[0].as_py()
-        x = _matrix(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), size)
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if query.any() and not query.all():
             order = np.argsort(ids[~query], kind="stable")
@@ -115,7 +111,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
             pivots = Pivots(mine)
             for q, name in zip(x[query], ids[query].tolist(), strict=True):
                 found, scores = pivots.best(q, name, own, k)
-                out.append((np.full(len(found), name), found, np.rint(scores).astype(np.int64)))
+                out.append((np.full(len(found), name), found, scores))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
@@ -127,12 +123,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
 #: DuckDB: all products.
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
   from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)
 ), r as (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
