@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, language_id, license_scan, packing, pivot_topk, quality, simhash
+from . import brown_lm, chat, decontaminate, language_id, license_scan, line_dedup, packing, pivot_topk, quality, simhash
 from .common import fold, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "class_doc", "class_line", "kept")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -52,8 +56,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = brown_lm.score_all(docs, *brown_lm.learn(docs))
+    return found.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = (
+    op1_line_dedup, op2_chat, op3_decontaminate, op4_simhash, op5_pivot_topk, op6_license_scan, op7_language_id, op8_quality, op9_packing, op10_brown_lm,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_simhash, op5_pivot_topk, op6_license_scan, op7_language_id, op8_quality, op9_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
