@@ -143,7 +143,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
             n[own] -= r
             n[:, own] -= s
             n[own, own] -= loop
-            rows, cols = n.sum(axis=1), n.sum(axis=0)
+            rows, cols = n.sum(axis=1) + s, n.sum(axis=0) + r  # the word's neighbours keep their totals
             gain = f(n + r).sum(axis=1) - f(n).sum(axis=1)
             gain += f(n + s[:, None]).sum(axis=0) - f(n).sum(axis=0)
             d = np.diag(n)
