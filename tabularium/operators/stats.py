@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .grouping import MAD_SCALE, valid
 
@@ -149,7 +149,7 @@ def relate(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
     return both.agg(F.covar_samp("a", "b").alias("cov"), F.corr("a", "b").alias("corr"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def probit(p: pd.Series) -> pd.Series:
     """Inverse of the normal distribution function."""
     inv = NormalDist().inv_cdf

@@ -141,13 +141,17 @@ def clone_structure(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], df.schema)
 
 
+def _filler(value: Column):
+    return lambda x: F.coalesce(x, value)
+
+
 def fillna(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Typed fill of nulls, element-wise in vectors; a NaN is a value and stays."""
     new = {}
     for name, v in values.items():
         kind, c = df.schema[name].dataType, F.col(f"`{name}`")
         if isinstance(kind, T.ArrayType):
-            new[name] = F.transform(c, lambda x, v=v, k=kind: F.coalesce(x, F.lit(v).cast(k.elementType)))
+            new[name] = F.transform(c, _filler(F.lit(v).cast(kind.elementType)))
         else:
             new[name] = F.coalesce(c, F.lit(v).cast(kind))
     return df.withColumns(new)
