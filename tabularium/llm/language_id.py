@@ -116,13 +116,15 @@ def automaton(codes: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    fresh = np.array([~(move[0].get(c, 0) * letters) for c in range(letters)], dtype=np.int32)
-    flat = np.tile(fresh, (len(move), 1))
+    # the last state follows a code that the language hasn't, and a text's start: whatever comes next begins a phrase
+    dead = len(move) * letters
+    fresh = np.array([~(move[0][c] * letters if c in move[0] else dead) for c in range(letters)], dtype=np.int32)
+    flat = np.tile(fresh, (len(move) + 1, 1))
     for s, ways in enumerate(move):
         for c, to in ways.items():
             flat[s, c] = to * letters
-    flat[:, UNKNOWN] = ~0
-    flat[:, PAD] = 0
+    flat[:, UNKNOWN] = ~dead
+    flat[:, PAD] = dead
     return np.ascontiguousarray(flat.reshape(-1))
 
 
@@ -180,14 +182,14 @@ class Model:
         steps = np.ascontiguousarray(grid.T)
         out = np.zeros((n, len(self.langs)))
         for j, moves in enumerate(self.moves):
-            state = np.zeros(len(which), dtype=np.int32)
+            state = np.full(len(which), len(moves) - self.size, dtype=np.int32)
             phrases = np.zeros(len(which), dtype=np.int32)
             for codes in steps:
                 to = moves.take(state + codes)
                 new = to >> 31
                 phrases -= new
                 state = to ^ new
-            out[:, j] = np.bincount(which, weights=phrases + 1.0, minlength=n)
+            out[:, j] = np.bincount(which, weights=phrases, minlength=n)
         return out / np.maximum(lens, 1)[:, None], has
 
 
