@@ -92,7 +92,7 @@ def filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_rows(read(spark, sf_dir, "events"), 'event_type starts_with "p" or props contains "1" and not event_type ends_with "w"').groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("select count(*) as n, sum(l_orderkey) as keys from lineitem where l_orderkey in (select range * 3 from range(2000)) and l_partkey not in (select range from range(500))")
+@query("select count(*) as n, cast(sum(l_orderkey) as bigint) as keys from lineitem where l_orderkey in (select range * 3 from range(2000)) and l_partkey not in (select range from range(500))")
 def filter_bound_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = filters.Filter().bind("wanted", range(0, 6000, 3)).bind("bad", range(500)).add("l_orderkey in @wanted").add("l_partkey not_in @bad")
     return filters.filter_rows(read(spark, sf_dir, "lineitem"), f).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
@@ -199,7 +199,7 @@ def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(rounded(rounded(out, "sum", digits=2), "var", "q90"), "std", digits=5), "mean", "sem", "mad", digits=6)
 
 
-@query("""select event_type, arg_min(value, event_id) as first, arg_max(value, event_id) as last, count(*) as size, min(user_id) as least, sum(user_id) as total from events group by 1""")
+@query("""select event_type, arg_min(value, event_id) as first, arg_max(value, event_id) as last, count(*) as size, min(user_id) as least, cast(sum(user_id) as bigint) as total from events group by 1""")
 def group_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grouping.Grouping(read(spark, sf_dir, "events"), "event_type", row="event_id")
     return g.agg([("value", "first", "first"), ("value", "last", "last"), (None, "size", "size", {"exact": True}), ("user_id", "min", "least", {"exact": True}), ("user_id", "sum", "total", {"exact": True})])
