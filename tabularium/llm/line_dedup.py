@@ -5,8 +5,8 @@ shingles of SHINGLE characters into BANDS * ROWS buckets and keeps the least of
 candidates; their exact Jaccard similarity over all shingles, THRESHOLD or more, makes a link, and the connected components of the links keep one line
 each: the first by (doc_id, line number).
 
-In a band each line is compared with the band's least and greatest line, not with all. Lines like neither elect a least
-and a greatest among themselves, and so on until none are left; each round takes its leaders out, so it ends. Equal lines are one
+In a band each line is compared with the band's least and greatest line, not with all. Lines like neither elect LEADERS leaders among
+themselves, those like none of these MORE times as many, and so on until no line is left; each round takes its leaders out, so it ends. Equal lines are one
 line here, merged by partial aggregation, so a line that makes up a third of all rows costs a row a task.
 
 Edge cases: null text has no lines; a line shorter than a shingle is one shingle; rows with one id and one text act as one
@@ -22,13 +22,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.graph import connected_components
 from ..session import cut
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 8, 8, 3, 0.8
+SHINGLE, BANDS, ROWS, THRESHOLD = 8, 6, 3, 0.8
 #: Bits of a shingle's hash that are compared within a bucket; hashes a bucket that long lines are thinned to.
 BITS, DEPTH = 40, 5
 
+#: Leaders that a band's lines elect after the first round, and by how much there are more in each round after that.
+LEADERS, MORE = 16, 8
+#: Bits of the table by which rows without a partner are left out of a shuffle; it is broadcast, 4 MB whatever the input.
+TABLE_BITS = 25
+
 _LONE = "-9223372036854775808"
 
 
+def _spot(c: Column) -> Column:
+    return F.xxhash64(c, F.lit("spot")).bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+
+
+def maybe_in(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose column may be in ``wanted`` (one column): none that is gets lost, few that aren't stay."""
+    spot = _spot(F.col(wanted.columns[0]))
+    bits = wanted.groupBy(F.bitmap_bucket_number(spot).alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("__bits"))
+    at = F.bitmap_bit_position(_spot(F.col(name)))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    return rows.withColumn("__page", F.bitmap_bucket_number(_spot(F.col(name)))).join(F.broadcast(bits), "__page").where(hit).drop("__page", "__bits")
+
+
 def _doc_keys() -> list[Column]:
     """128 bits that tell documents apart by id and text."""
     return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit("document")).alias("k2")]
@@ -93,29 +112,31 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.select("a", "b", common.alias("r")).where(F.col("r.c") >= F.lit(THRESHOLD) * (F.col("r.n") - F.col("r.c"))).select("a", "b")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """``key, id, lo, hi``: the rows of shared keys with the key's least and greatest line."""
-    leaders = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    return rows.join(leaders, "key")
-
-
 def links(lines: DataFrame) -> DataFrame:
     """``a, b``: ids of lines that are near-duplicates, enough of them to connect each component."""
-    rows = cut(_candidates(bands(signatures(lines))))
+    keyed = bands(signatures(lines))
+    ends = cut(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
+    rows = cut(maybe_in(keyed, "key", ends.select("key")).join(ends, "key").select("key", "id", F.array_distinct(F.array("lo", "hi")).alias("leaders")))
     ids = rows.select("id").distinct()
-    texts = cut(lines.select(F.xxhash64("line").alias("id"), "line").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    named = maybe_in(lines.select(F.xxhash64("line").alias("id"), "line"), "id", ids)
+    texts = cut(named.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
     found: list[DataFrame] = []
+    many = LEADERS
     while True:
-        lo, hi = rows.select(F.col("id").alias("a"), F.col("lo").alias("b")), rows.select(F.col("id").alias("a"), F.col("hi").alias("b"))
-        linked = cut(similar(lo.union(hi).where("a != b").distinct(), texts))
+        pairs = rows.select("id", F.explode("leaders").alias("to")).where("id != to")
+        linked = cut(similar(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), texts))
         found.append(linked)
-        # what is like neither leader, and no leader itself, goes on
-        good = linked.select(F.col("a").alias("id"), F.col("b").alias("to"))
-        rest = rows.where("id != lo and id != hi")
-        rest = rest.join(good.withColumnRenamed("to", "lo"), ["id", "lo"], "left_anti").join(good.withColumnRenamed("to", "hi"), ["id", "hi"], "left_anti")
-        rows = cut(_candidates(rest.select("id", "key")))
-        if rows.isEmpty():
+        # what is like none of the leaders, and is none itself, goes on with more leaders
+        good = linked.union(linked.select("b", "a")).toDF("id", "to")
+        rest = rows.where(~F.array_contains("leaders", F.col("id")))
+        settled = rest.select("key", "id", F.explode("leaders").alias("to")).join(good, ["id", "to"], "left_semi").select("key", "id").distinct()
+        rest = cut(rest.select("key", "id").join(settled, ["key", "id"], "left_anti"))
+        part = F.pmod(F.xxhash64("id", F.lit(many)), F.lit(many))
+        leaders = rest.groupBy("key", part).agg(F.min("id").alias("to")).groupBy("key").agg(F.collect_list("to").alias("leaders"))
+        if rest.isEmpty():
             return reduce(DataFrame.union, found)
+        rows = rest.join(leaders, "key")
+        many *= MORE
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -125,23 +146,23 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     lines = lines_of(docs)
     nodes = cut(connected_components(links(lines), "a", "b"))
-    place = F.coalesce(F.col("doc_id"), F.lit(int(_LONE))).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("n")
-    placed = lines.select("doc_id", "k1", "k2", "n", *_ids(), place.cast("decimal(38,0)").alias("at"))
-    grouped = placed.join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("g", F.coalesce("component", "id"))
+    shift = F.lit(1 << 31).cast("decimal(12,0)")
+    place = (F.coalesce(F.col("doc_id"), F.lit(int(_LONE))).cast("decimal(20,0)") * shift + F.col("n")).cast("decimal(38,0)")
+    placed = lines.select("doc_id", "k1", "k2", "n", *_ids(), place.alias("at"))
     # least check of an id: a different line with the same id is left alone
-    firsts = grouped.groupBy("g").agg(F.min("at").alias("first"))
-    checks = grouped.groupBy("id").agg(F.min("check").alias("mine"), F.max("check").alias("other")).where("mine != other").select("id", "mine")
-    known = grouped.join(firsts, "g").join(checks, "id", "left")
-    odd = F.col("mine").isNotNull() & (F.col("check") != F.col("mine"))
-    first = F.when(odd, F.col("at")).otherwise(F.col("first"))
-    doc = F.floor(first / F.lit(1 << 31).cast("decimal(12,0)"))
-    return known.select(
+    ids = cut(placed.groupBy("id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"), F.min("check").alias("mine")).join(nodes.withColumnRenamed("node", "id"), "id", "left").where("c > 1 or component is not null"))
+    firsts = ids.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    known = ids.join(firsts, "component", "left").select("id", "mine", F.coalesce("least", "first").alias("first"))
+    found = placed.join(known, "id", "left")
+    first = F.when(F.col("check") == F.col("mine"), F.col("first")).otherwise(F.col("at"))
+    doc = F.floor(first / shift)
+    return found.select(
         "doc_id",
         "k1",
         "k2",
         F.col("n").alias("line_no"),
         F.when(doc != int(_LONE), doc.cast("long")).alias("class_doc"),
-        (first - doc * F.lit(1 << 31).cast("decimal(12,0)")).cast("int").alias("class_line"),
+        (first - doc * shift).cast("int").alias("class_line"),
         (first == F.col("at")).alias("kept"),
     )
 
