@@ -167,6 +167,25 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return of
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The frequent words and their counts, by falling count.
+
+    A histogram over eighths of octaves gives the count from which on no more than ``most`` words are left, so only those
+    reach the driver, however many partitions hold the counts.
+    """
+    level = F.floor(F.log2("c") * 8).cast("int")
+    total, lowest = 0, None
+    for r in sorted(counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["l"]):
+        total += r["n"]
+        if total > most:
+            break
+        lowest = r["l"]
+    if lowest is None:
+        return []
+    rows = counts.where(level >= lowest).collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 class Model:
     """What the scoring tasks need; its size is bounded by KNOWN and the number of classes."""
 
@@ -209,7 +228,7 @@ def learn(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame]:
     counts = cut(word_counts(train))
     texts = train.count()
     tail = F.pmod(F.crc32(F.when(F.length("word") > 2, F.expr("substring(word, -2, 2)")).otherwise(F.col("word"))), F.lit(ENDINGS)).alias("e")
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()]
+    top = most_frequent(counts, KNOWN)
     merged = [w for w, _ in top[:MERGED]]
     bigrams = code_pairs(train, {w: i for i, w in enumerate(merged)}, max(1, len(merged)), False)
     classes = min(CLASSES, max(1, len(merged)))
