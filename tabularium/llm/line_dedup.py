@@ -5,8 +5,8 @@ shingles of SHINGLE characters into BANDS * ROWS buckets and keeps the least of
 candidates; their exact Jaccard similarity over all shingles, THRESHOLD or more, makes a link, and the connected components of the links keep one line
 each: the first by (doc_id, line number).
 
-In a band each line is compared with the band's least and greatest line, not with all. Lines like neither elect LEADERS leaders among
-themselves, those like none of these MORE times as many, and so on until no line is left; each round takes its leaders out, so it ends. Equal lines are one
+All pairs of a band are candidates. Each line is first compared with the band's hub, the line that meets most others over all its bands;
+then every pair that no chain of links connects yet is compared, block by block, unless bits of the two lines' shingles prove it below the threshold. Equal lines are one
 line here, merged by partial aggregation, so a line that makes up a third of all rows costs a row a task.
 
 Edge cases: null text has no lines; a line shorter than a shingle is one shingle; rows with one id and one text act as one
@@ -26,8 +26,8 @@ SHINGLE, BANDS, ROWS, THRESHOLD = 8, 6, 3, 0.8
 #: Bits of a shingle's hash that are compared within a bucket; hashes a bucket that long lines are thinned to.
 BITS, DEPTH = 40, 5
 
-#: Leaders that a band's lines elect after the first round, and by how much there are more in each round after that.
-LEADERS, MORE = 16, 8
+#: 64-bit words by which pairs are ruled out before they are compared (a power of 2), and lines of a band that one task compares with as many.
+WORDS, BLOCK = 8, 256
 #: Bits of the table by which rows without a partner are left out of a shuffle; it is broadcast, 4 MB whatever the input.
 TABLE_BITS = 25
 
@@ -83,11 +83,12 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """``id, key``: a key for each band; an empty bucket borrows from the next."""
+    """``id, keys``: a key for each band; an empty bucket borrows from the next."""
     buckets = BANDS * ROWS
     full = [F.coalesce(*[F.col(f"m{(j + k) % buckets}") for k in range(buckets)], F.lit(-1)) for j in range(buckets)]
     keys = [F.xxhash64(F.lit(b), *full[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
-    return signed.select("id", F.explode(F.array(*keys)).alias("key"))
+    # explode, of one array, keeps the keys out of the aggregation, where each bucket would be written out for each key
+    return signed.select("id", F.explode(F.array(F.array(*keys))).alias("keys"))
 
 
 def _shingles(line: Column) -> Column:
@@ -112,31 +113,55 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.select("a", "b", common.alias("r")).where(F.col("r.c") >= F.lit(THRESHOLD) * (F.col("r.n") - F.col("r.c"))).select("a", "b")
 
 
+def marks(texts: DataFrame) -> DataFrame:
+    """``id, size, w0, w1, ...``: how many distinct shingles a line has, and WORDS * 64 bits of which each shingle sets one."""
+    spread = texts.select("id", _shingles(F.col("line")).alias("s")).select("id", F.size("s").alias("size"), F.explode("s").alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = [F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)]
+    return spread.groupBy("id").agg(F.first("size").alias("size"), *words)
+
+
+def _may_be_like(a: str, b: str) -> Column:
+    """False only of pairs below the threshold: a bit that one line has and the other hasn't is a shingle they don't share."""
+    x, y = [F.col(f"{a}.w{j}") for j in range(WORDS)], [F.col(f"{b}.w{j}") for j in range(WORDS)]
+    lacks = reduce(Column.__add__, [F.bit_count(p.bitwiseAND(F.bitwise_not(q))) for p, q in zip(x, y, strict=True)])
+    lacked = reduce(Column.__add__, [F.bit_count(q.bitwiseAND(F.bitwise_not(p))) for p, q in zip(x, y, strict=True)])
+    m, n = F.col(f"{a}.size"), F.col(f"{b}.size")
+    # the bound on the shared shingles, and similar()'s own comparison with a margin for rounding
+    common = F.least(m - lacks, n - lacked)
+    return common >= F.lit(THRESHOLD) * (m + n - common) - F.lit(1e-6)
+
+
+def _rest(rows: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of a band's lines that ``near`` doesn't connect and that may reach the threshold."""
+    nodes = connected_components(near, "a", "b").withColumnRenamed("node", "id")
+    placed = cut(rows.join(nodes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key", "n")
+    left = cut(placed.join(open_, "key").select("key", "id", "c", F.ceil(F.col("n") / BLOCK).cast("int").alias("many")))
+    marked = cut(marks(texts.join(left.select("id").distinct(), "id", "left_semi")))
+    blocks = left.join(marked, "id").withColumn("at", F.pmod(F.xxhash64("id", F.lit("block")), F.col("many")).cast("int"))
+    # every pair of a band's blocks is a task's work of its own
+    one = blocks.withColumn("other", F.explode(F.sequence(F.col("at"), F.col("many") - 1))).alias("x")
+    two = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at")))).alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.other")) & (F.col("x.other") == F.col("y.at"))
+    new = (F.col("x.c") != F.col("y.c")) & ((F.col("x.at") < F.col("y.at")) | (F.col("x.id") < F.col("y.id")))
+    pairs = one.hint("merge").join(two, met & new & _may_be_like("x", "y"))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def links(lines: DataFrame) -> DataFrame:
     """``a, b``: ids of lines that are near-duplicates, enough of them to connect each component."""
-    keyed = bands(signatures(lines))
-    ends = cut(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
-    rows = cut(maybe_in(keyed, "key", ends.select("key")).join(ends, "key").select("key", "id", F.array_distinct(F.array("lo", "hi")).alias("leaders")))
-    ids = rows.select("id").distinct()
-    named = maybe_in(lines.select(F.xxhash64("line").alias("id"), "line"), "id", ids)
+    keyed = cut(bands(signatures(lines))).select("id", F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = cut(maybe_in(keyed, "key", shared.select("key")).join(shared, "key").select("key", "id", "n"))
+    ids = rows.groupBy("id").agg(F.sum("n").alias("met"))
+    named = maybe_in(lines.select(F.xxhash64("line").alias("id"), "line"), "id", ids.select("id"))
     texts = cut(named.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
-    found: list[DataFrame] = []
-    many = LEADERS
-    while True:
-        pairs = rows.select("id", F.explode("leaders").alias("to")).where("id != to")
-        linked = cut(similar(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), texts))
-        found.append(linked)
-        # what is like none of the leaders, and is none itself, goes on with more leaders
-        good = linked.union(linked.select("b", "a")).toDF("id", "to")
-        rest = rows.where(~F.array_contains("leaders", F.col("id")))
-        settled = rest.select("key", "id", F.explode("leaders").alias("to")).join(good, ["id", "to"], "left_semi").select("key", "id").distinct()
-        rest = cut(rest.select("key", "id").join(settled, ["key", "id"], "left_anti"))
-        part = F.pmod(F.xxhash64("id", F.lit(many)), F.lit(many))
-        leaders = rest.groupBy("key", part).agg(F.min("id").alias("to")).groupBy("key").agg(F.collect_list("to").alias("leaders"))
-        if rest.isEmpty():
-            return reduce(DataFrame.union, found)
-        rows = rest.join(leaders, "key")
-        many *= MORE
+    # a line with many copies meets most of them in each of its bands, a copy only some
+    hubs = rows.join(ids, "id").groupBy("key").agg(F.max_by("id", F.struct("met", "id")).alias("hub"))
+    pairs = rows.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    near = cut(similar(pairs, texts))
+    return near.union(cut(similar(_rest(rows, near, texts), texts)))
 
 
 def classes(docs: DataFrame) -> DataFrame:

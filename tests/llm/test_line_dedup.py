@@ -91,3 +91,22 @@ def test_edges(spark):
     got = sorted(((r["doc_id"] or 0, r["text"] or "", r["n_chars"]) for r in out.collect()), key=str)
     assert got == sorted([(0, "same line here", 14), (0, "", None), (1, "", 0), (1, "", 0), (2, "\n\n", 2)], key=str)
     assert L.classes(df.limit(0)).count() == 0 and L.dedup_lines(df.limit(0)).count() == 0
+
+
+def answers(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    return {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"]) for r in L.classes(df).collect()}
+
+
+def test_star_groups(spark):
+    """Copies that are like their source and not like each other."""
+    docs = []
+    for source, (copies, size, edits) in enumerate([(20, 100, 1), (100, 300, 3), (1000, 300, 3)]):
+        own = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(size))
+        places = [rng.randrange(10_000) for _ in range(copies + 1)]
+        docs += [(source * 100_000 + p * 10 + i % 10, own if i == copies // 2 else near(own, edits)) for i, p in enumerate(places)]
+    docs = list({d: (d, t) for d, t in docs}.values())
+    got, want = answers(spark, docs), brute(docs)
+    assert got.keys() == want.keys()
+    wrong = [p for p in want if got[p] != want[p]]
+    assert len(wrong) <= 0.005 * len(want), (len(wrong), len(want))
