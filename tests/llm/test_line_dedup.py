@@ -110,3 +110,18 @@ def test_star_groups(spark):
     assert got.keys() == want.keys()
     wrong = [p for p in want if got[p] != want[p]]
     assert len(wrong) <= 0.005 * len(want), (len(wrong), len(want))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of 400 shingles each at a similarity of 0.8 share a band, all but 0.8 % of them."""
+    letters, pairs = "abcdefghijklmnopqrst", []
+    for _ in range(2000):
+        a = "".join(rng.choices(letters, k=407))
+        i = rng.randrange(10, 350)
+        pairs.append((a, a[:i] + "".join(rng.choices(letters, k=37)) + a[i + 37 :]))
+    x, y = shingles(pairs[0][0]), shingles(pairs[0][1])
+    assert 0.8 <= len(x & y) / len(x | y) < 0.81
+    rows = [(i * 2 + k, text) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    got = answers(spark, rows)
+    missed = sum(got[i * 2 + 1, 0] != (i * 2, 0) for i in range(len(pairs)))
+    assert missed <= 0.008 * len(pairs), missed
