@@ -23,8 +23,8 @@ from ..operators.graph import connected_components
 from ..session import cut
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 8, 3, 0.8
-#: Bits of a shingle's hash that are compared within a bucket; hashes a bucket that long lines are thinned to.
-BITS, DEPTH = 40, 5
+#: Bits of a shingle's hash that are compared within a bucket.
+BITS = 40
 
 #: 64-bit words by which pairs are ruled out before they are compared (a power of 2), and lines of a band that one task compares with as many.
 WORDS, BLOCK = 8, 256
@@ -74,12 +74,10 @@ def signatures(lines: DataFrame) -> DataFrame:
     hashed = (
         lines.select(F.xxhash64("line").alias("id"), F.encode("line", "UTF-32").alias("b"))
         .select("id", "b", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-        .select("id", F.length("b").alias("size"), F.xxhash64(F.substring("b", F.col("i") * 4 + 1, F.lit(width))).alias("h"))
-        .select("id", "size", F.pmod(F.shiftrightunsigned("h", BITS), F.lit(buckets)).alias("bucket"), F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).alias("v"))
+        .select("id", F.xxhash64(F.substring("b", F.col("i") * 4 + 1, F.lit(width))).alias("h"))
+        .select("id", F.pmod(F.shiftrightunsigned("h", BITS), F.lit(buckets)).alias("bucket"), F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).alias("v"))
     )
-    # the least hashes of a long line lie under this bound, so the rest need not be aggregated
-    kept = hashed.where(F.col("v") < F.lit(4.0 * DEPTH * buckets * (1 << BITS)) / F.col("size"))
-    return kept.groupBy("id").agg(*[F.min(F.when(F.col("bucket") == j, F.col("v"))).alias(f"m{j}") for j in range(buckets)])
+    return hashed.groupBy("id").agg(*[F.min(F.when(F.col("bucket") == j, F.col("v"))).alias(f"m{j}") for j in range(buckets)])
 
 
 def bands(signed: DataFrame) -> DataFrame:

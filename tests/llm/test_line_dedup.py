@@ -125,3 +125,14 @@ def test_recall_at_the_threshold(spark):
     got = answers(spark, rows)
     missed = sum(got[i * 2 + 1, 0] != (i * 2, 0) for i in range(len(pairs)))
     assert missed <= 0.008 * len(pairs), missed
+
+
+def test_long_lines_that_repeat_themselves(spark):
+    """Lines of few distinct shingles for their length are like their copies of another length."""
+    texts = []
+    for words in ["=", "ab cd ", *[line(8) + " " for _ in range(60)]]:
+        n = 400 if words == "=" else 8000
+        texts += [(words * n)[:n], (words * n)[: n - len(words)] if words != "=" else "=" * 500]
+    got = answers(spark, list(enumerate(texts)))
+    wrong = [texts[i][:20] for i in range(1, len(texts), 2) if got[i, 0] != (i - 1, 0)]
+    assert not wrong, (len(wrong), wrong[:3])
