@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     ``component`` is the smallest node id reachable. Null ends and self loops are ignored; a node
     that appears only in self loops gets itself. Each round stores its edges in the checkpoint
     folder, and the loop ends when a round changes nothing (a few rounds, logarithmic in the
-    size of the largest component).
+    size of the largest component). More than ``max_rounds`` raise an error.
     """
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     alone = ends.where("a = b").select(F.col("a").alias("node")).distinct()
@@ -49,6 +49,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components are not final after {max_rounds} rounds")
     labelled = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     known = labelled.union(roots)
