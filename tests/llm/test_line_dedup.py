@@ -136,3 +136,16 @@ def test_long_lines_that_repeat_themselves(spark):
     got = answers(spark, list(enumerate(texts)))
     wrong = [texts[i][:20] for i in range(1, len(texts), 2) if got[i, 0] != (i - 1, 0)]
     assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_crowded_bands_and_large_tables(spark, monkeypatch):
+    """Bands that are dealt anew, blocks, joins without broadcasts and filters give the same classes."""
+    monkeypatch.setattr(L, "BLOCK", 8)
+    monkeypatch.setattr(L, "BROADCAST", 0)
+    monkeypatch.setattr(L, "TABLE_BITS", 3)
+    common = line(40)
+    docs = [(i, common + " " + line(60) + ("\U0001f600" if i % 2 else "")) for i in range(60)]
+    docs += [(100 + i, near(docs[i][1], 2)) for i in range(0, 60, 3)]
+    got, want = answers(spark, docs), brute(docs)
+    assert got.keys() == want.keys()
+    assert sum(got[p] != want[p] for p in want) <= 1
