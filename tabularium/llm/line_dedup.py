@@ -32,10 +32,10 @@ SHINGLE, GROUPS, BUCKETS, ROWS, THRESHOLD = 8, 4, 6, 3, 0.8
 #: Signatures by which a crowded band is dealt anew.
 AGAIN = 20
 #: Bits of a shingle's hash that are compared within a bucket.
-BITS = 40
+BITS = 24
 
 #: 64-bit words by which pairs are ruled out before they are compared (a power of 2), and lines of a band that one task compares with as many.
-WORDS, BLOCK = 16, 1024
+WORDS, BLOCK = 32, 1024
 #: Most bits of the table by which rows without a partner are left out of a shuffle: 32 MB. Beyond it all rows are shuffled.
 TABLE_BITS = 28
 #: Most keys that are broadcast to a join; beyond it both sides are shuffled.
@@ -96,7 +96,7 @@ def signatures(lines: DataFrame, groups: int, salt: int = 0) -> DataFrame:
         .select(
             "id",
             F.pmod(F.shiftrightunsigned("h", 52).cast("int"), F.lit(groups)).alias("g"),
-            F.pmod(F.shiftrightunsigned("h", BITS).cast("int").bitwiseAND(F.lit(0xFFF)), F.lit(BUCKETS)).alias("bucket"),
+            F.pmod(F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(0xFFF)).cast("int"), F.lit(BUCKETS)).alias("bucket"),
             F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).alias("v"),
         )
     )
@@ -144,23 +144,25 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def marks(texts: DataFrame) -> DataFrame:
-    """``id, size, w0, w1, ...``: how many distinct shingles a line has, and WORDS * 64 bits of which each shingle sets one."""
+    """``id, size, w0, w1, ...``: how many distinct shingles a line has, and WORDS * 64 bits, each being the parity of the shingles at it."""
     line = F.col("line")
     spread = texts.select("id", F.explode(F.array(F.array_distinct(_shingles(line, F.lit(True))))).alias("s")).select("id", F.size("s").alias("size"), F.explode("s").alias("h"))
     word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(h & 63 as int))")
-    words = [F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)]
-    return spread.groupBy("id").agg(F.min("size").alias("size"), *words)
+    none = F.lit(0).cast("long")
+    words = [F.coalesce(F.bit_xor(F.when(word == j, bit).otherwise(none)), none).alias(f"w{j}") for j in range(WORDS)]
+    return spread.groupBy("id").agg(F.coalesce(F.min("size"), F.lit(0)).alias("size"), *words)
 
 
 def _may_be_like(a: str, b: str) -> Column:
-    """False only of pairs below the threshold: a bit that one line has and the other hasn't is a shingle they don't share."""
-    x, y = [F.col(f"{a}.w{j}") for j in range(WORDS)], [F.col(f"{b}.w{j}") for j in range(WORDS)]
-    lacks = reduce(Column.__add__, [F.bit_count(p.bitwiseAND(F.bitwise_not(q))) for p, q in zip(x, y, strict=True)])
-    lacked = reduce(Column.__add__, [F.bit_count(q.bitwiseAND(F.bitwise_not(p))) for p, q in zip(x, y, strict=True)])
-    m, n = F.col(f"{a}.size"), F.col(f"{b}.size")
-    # the bound on the shared shingles, and similar()'s own comparison with a margin for rounding
-    common = F.least(m - lacks, n - lacked)
-    return common >= F.lit(THRESHOLD) * (m + n - common) - F.lit(1e-6)
+    """False only of pairs below the threshold.
+
+    Shared shingles cancel out in the exclusive or of two lines' parities, so every bit left is a shingle that one of them lacks;
+    the similarity is (m + n - d) / (m + n + d) for d such shingles.
+    """
+    d = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.w{j}").bitwiseXOR(F.col(f"{b}.w{j}"))) for j in range(WORDS)])
+    both = F.col(f"{a}.size") + F.col(f"{b}.size")
+    # similar()'s own comparison, with a margin for rounding
+    return (1 + THRESHOLD) * d <= (1 - THRESHOLD) * both + F.lit(1e-6)
 
 
 def _open(rows: DataFrame) -> DataFrame:
