@@ -58,8 +58,14 @@ class Encoder(dict):
         super().__init__()
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
-        names, special = byte_names(), {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(names[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        if any(x[k] for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        names = byte_names()
+        ranks = {bytes(names[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        #: Added tokens stand for themselves wherever their text occurs; the parts between are encoded each on its own.
+        self.added = {x: np.array([i], dtype="<u4").tobytes() for x, i in added.items() if x}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @staticmethod
@@ -82,6 +88,14 @@ class Encoder(dict):
         The text is cut before each space, where a piece of the pattern begins anyway; texts where that does not
         hold are encoded in one go.
         """
+        if not text:
+            return b""
+        if any(x in text for x in self.added):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.between.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if not text:
             return b""
         if self.tangled.search(text):

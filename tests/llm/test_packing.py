@@ -7,11 +7,10 @@ from tokenizers import Tokenizer
 from tabularium.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", None, " ", "a", "a  b   c ", "a\n b", "x \n\n y", "tab\t tab", "don't we'll", "é à  b", "<|endoftext|> x", "\0 a b", "word " * 3000, "日本 語", "end  ", " \n", "1 2,3 !?", "a　 b"]
+ODD = ["", None, " ", "a", "a  b   c ", "a\n b", "x \n\n y", "tab\t tab", "don't we'll", "é à  b", "<|endoftext|> x", "a <|endoftext|>", "a  <|endoftext|><|endoftext|>  b <|endoftex|>", "\0 a b", "word " * 3000, "日本 語", "end  ", " \n", "1 2,3 !?", "a　 b"]
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def encode(text):
