@@ -6,11 +6,17 @@ n - Q + 1 - Q * budget of its q-grams, all on diagonals that differ by no more t
 that a document shares with the windows are counted in overlapping diagonal bands, each q-gram of a window once; bands that reach the bound are
 verified by a banded alignment of the window with the document.
 
-The benchmark is sent to the tasks in blocks of at most BLOCK_CHARS characters, one pass over the documents for each
-block, so its size isn't limited by a task's memory.
+Items with fewer than LEAST characters after the clean-up have too few q-grams for that; an automaton finds where their words
+stand exactly.
 
-Edge cases: null or empty texts match nothing; items with fewer than LEAST characters after the clean-up are too short to tell from chance
-and match nothing; repeated items and documents each get rows; rows with null ids are matched too, with a null in the
+The benchmark is sent to the tasks in blocks of about BLOCK_CHARS characters, one pass over the documents for each block, whose result is
+stored before the next block is fetched; so neither a task nor the driver holds more than a block. The shared q-grams of a
+document are counted by stretches of STRETCH characters and by ranges of windows, so repeated q-grams take bounded memory.
+
+A part of a longer item is found if it holds one of the item's windows: any part of 143 characters does, a shorter one only if it
+covers one.
+
+Edge cases: null or empty texts and items match nothing; repeated items and documents each get rows; rows with null ids are matched too, with a null in the
 result, but a document without an id isn't removed. Extra columns are ignored. Empty tables give no rows.
 """
 
@@ -19,10 +25,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
 from .common import blocks
 
 Q = 12
@@ -30,6 +38,8 @@ Q = 12
 WINDOW, STRIDE, CHARS_PER_EDIT, LEAST = 96, 48, 16, 32
 #: Characters of benchmark text in a pass.
 BLOCK_CHARS = 4_000_000
+#: Characters of a document, and shared q-grams, that are counted at once.
+STRETCH, AT_ONCE = 1 << 16, 4_000_000
 #: Slots of the bitmap that most of a document's q-grams are dismissed by.
 SLOTS = 22
 
@@ -81,9 +91,12 @@ class Index:
         self.items = items
         self.windows: list[tuple[int, int, str, int, int]] = []  # item, start, text, budget, bound
         codes, window, at = [], [], []
+        short: dict[str, list[int]] = {}
         for k, (_, text) in enumerate(items):
             n = len(text)
             if n < LEAST:
+                if text:
+                    short.setdefault(f" {text} ", []).append(k)
                 continue
             starts = [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
             for s in starts:
@@ -98,11 +111,19 @@ class Index:
         codes, window, at = np.concatenate([empty.view(np.uint64), *codes]), np.concatenate([empty, *window]), np.concatenate([empty, *at])
         order = np.argsort(codes, kind="stable")
         self.window, self.at = window[order], at[order]
-        self.codes, self.first, self.count = np.unique(codes[order], return_index=True, return_counts=True)
+        self.codes, slot = np.unique(codes[order], return_inverse=True)
+        # by q-gram, and within a q-gram by window
+        self.entries = slot * (len(self.windows) + 1) + self.window
         self.bitmap = np.zeros(1 << SLOTS, dtype=bool)
         self.bitmap[(self.codes >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
         self.budget = np.array([w[3] for w in self.windows], dtype=np.int64)
         self.bound = np.array([w[4] for w in self.windows], dtype=np.int64)
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for phrase, found in short.items():
+                self.short.add_word(phrase, (len(phrase), found))
+            self.short.make_automaton()
 
     @staticmethod
     def of(items: list[tuple[int | None, str]]) -> Index:
@@ -120,10 +141,19 @@ class Index:
         slot = np.searchsorted(self.codes, codes[hit])
         slot[slot == len(self.codes)] = 0
         same = self.codes[slot] == codes[hit]
-        hit, slot = hit[same], slot[same]
-        count = self.count[slot]
+        return self.count(hit[same], slot[same], 0, len(self.windows))
+
+    def count(self, hit: np.ndarray, slot: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those bands of the windows from ``lo`` to ``hi``, for q-grams ``slot`` at places ``hit``."""
+        first = np.searchsorted(self.entries, slot * (len(self.windows) + 1) + lo)
+        count = np.searchsorted(self.entries, slot * (len(self.windows) + 1) + hi) - first
+        some = count > 0
+        hit, slot, first, count = hit[some], slot[some], first[some], count[some]
         total = int(count.sum())
-        entry = np.repeat(self.first[slot] - (np.cumsum(count) - count), count) + np.arange(total)
+        if total > AT_ONCE and hi - lo > 1:
+            mid = (lo + hi) // 2
+            return tuple(np.concatenate(x) for x in zip(self.count(hit, slot, lo, mid), self.count(hit, slot, mid, hi), strict=True))
+        entry = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(total)
         window, at = self.window[entry], self.at[entry]
         diagonal = np.repeat(hit, count) - at + WINDOW
         # a band is twice a step wide, and a step is wider than the budget, so a match lies within one band
@@ -172,6 +202,14 @@ def matches(index: Index, texts: list[str | None]) -> list[list[tuple[int, int,
     """For each text its (item, windows matched, least edits, start, end), places in the cleaned text."""
     cleaned = [clean(t) for t in texts]
     out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in texts]
+    if index.short is not None:
+        for d, text in enumerate(cleaned):
+            hits: dict[int, list[int]] = {}
+            for end, (n, items) in index.short.iter(f" {text} "):
+                for k in items:
+                    hits.setdefault(k, []).append(end - n + 1)
+                    hits[k][1:] = [end - 1]
+            out[d] += [(k, 1, 0, at[0], at[-1]) for k, at in sorted(hits.items())]
     flat = points("\n".join(cleaned))
     if len(flat) < Q:
         return out
@@ -183,7 +221,10 @@ def matches(index: Index, texts: list[str | None]) -> list[list[tuple[int, int,
     least = int(index.bound.min()) if len(index.bound) else 1 << 60
     for d in np.flatnonzero(per[: len(texts)] >= least).tolist():
         text = flat[begins[d] : begins[d + 1] - 1]
-        windows, diagonals = index.bands(codes[begins[d] : max(begins[d], begins[d + 1] - Q)])
+        own = codes[begins[d] : max(begins[d], begins[d + 1] - Q)]
+        # stretches overlap by more than a window with its edits
+        parts = [(s, index.bands(own[s : s + STRETCH + 2 * WINDOW])) for s in range(0, len(own), STRETCH)]
+        windows, diagonals = np.concatenate([w for _, (w, _) in parts]), np.concatenate([x + s for s, (_, x) in parts])
         found: dict[int, dict[int, tuple[int, int, int]]] = {}
         for w, lo in zip(windows.tolist(), diagonals.tolist(), strict=True):
             item, _, part, budget, _ = index.windows[w]
@@ -197,14 +238,14 @@ def matches(index: Index, texts: list[str | None]) -> list[list[tuple[int, int,
     return out
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
-    """The cleaned items, in blocks of a bounded size; each is fetched when its pass is planned."""
+def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
+    """The cleaned items, in blocks of a bounded size, and whether there are several; each is fetched when its pass is due."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-size // BLOCK_CHARS)
     for p in range(parts):
         mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        yield [(r["item_id"], clean(r["text"])) for r in mine.orderBy("item_id", "text").collect()]
+        yield [(r["item_id"], clean(r["text"])) for r in mine.orderBy("item_id", "text").collect()], parts > 1
 
 
 SCHEMA = "doc_id long, item_id long, windows long, edits long, start long, end long"
@@ -216,8 +257,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     start and end are places in the cleaned text, edits the least of the windows found.
     """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for items in item_blocks(benchmark):
+    out, several = None, False
+    for items, several in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = Index.of(items)
@@ -230,6 +271,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         found = chosen.mapInArrow(run, SCHEMA)
+        if several:
+            found = cut(found)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 

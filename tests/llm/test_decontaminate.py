@@ -33,7 +33,8 @@ def edit(text, n):
 
 def brute(index, text):
     cleaned = D.clean(text)
-    return {index.windows[w][0] for w in range(len(index.windows)) if len(cleaned) and distance(index.windows[w][2], cleaned) <= index.windows[w][3]}
+    short = {k for k, (_, x) in enumerate(index.items) if x and len(x) < D.LEAST and f" {x} " in f" {cleaned} "}
+    return short | {index.windows[w][0] for w in range(len(index.windows)) if len(cleaned) and distance(index.windows[w][2], cleaned) <= index.windows[w][3]}
 
 
 def test_equals_brute_force():
@@ -43,6 +44,7 @@ def test_equals_brute_force():
     for i in range(3):
         for n in (0, 1, 3, 5, 8, 12):
             texts.append(f"{prose(20)} {edit(items[i][1], n)} {prose(20)}")
+        texts += [f"{prose(3)} {items[3][1]}, {items[4][1].upper()}", items[4][1], items[3][1] + "s", items[3][1][1:]]
     texts += [edit(items[2][1], 4), (items[1][1][:-1] + " ") * 40, "the " * 2000]
     got = D.matches(index, texts)
     for text, hits in zip(texts, got):
@@ -70,3 +72,23 @@ def test_frames(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 3]
     assert D.leaks(docs, bench.limit(0)).count() == 0 and D.leaks(docs.limit(0), bench).count() == 0
     assert D.keep_clean(docs, bench.limit(0)).count() == 5
+
+
+def test_repeated_grams_take_bounded_memory(monkeypatch):
+    """Stretches and ranges of windows find what one count over the whole document finds."""
+    items = [(0, "ab " * 60), (1, "a" * 200), (2, D.clean(prose(40))), (3, "ab " * 30 + "c")]
+    index = D.Index(items)
+    texts = ["a" * 3000, "ab " * 900, prose(150) + " " + items[2][1] + " " + prose(150), "ab " * 50 + "a" * 200, prose(200)]
+    whole = D.matches(index, texts)
+    monkeypatch.setattr(D, "STRETCH", 100)
+    monkeypatch.setattr(D, "AT_ONCE", 500)
+    assert [{(h[0], h[2]) for h in x} for x in D.matches(index, texts)] == [{(h[0], h[2]) for h in x} for x in whole]
+    assert [{h[0] for h in x} for x in whole] == [brute(index, t) for t in texts]
+
+
+def test_several_passes(spark, monkeypatch):
+    docs = [(i, prose(30)) for i in range(6)]
+    df = spark.createDataFrame([*docs, (9, "x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10 + i, t) for i, t in docs[:3]], "item_id long, text string")
+    monkeypatch.setattr(D, "BLOCK_CHARS", 100)
+    assert sorted(tuple(r)[:2] for r in D.leaks(df, bench).collect()) == [(0, 10), (1, 11), (2, 12)]
