@@ -1,8 +1,10 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton is built for each language from a bounded sample of labelled text. A text is
-parsed greedily into the longest phrases that occur in that sample; the language that needs the
-fewest phrases for the text's length wins.
+A suffix automaton is built for each language from a bounded sample of labelled text: SAMPLE_CHARS characters, taken in equal shares from
+up to SAMPLE_DOCS documents, each share from a place of the whole text drawn by a hash. A text, of any length, is
+parsed greedily into the longest phrases that occur in that sample; the language that needs the fewest phrases for the text's
+length wins. Every letter of the samples, whatever the script, has a code of its own; a letter that no sample holds is a phrase
+in each language, and whatever is no letter counts as a space.
 
 Edge cases: a null text, an empty one and one without a letter get ``und`` and score 0. Rows with a
 null ``lang`` or null id are never learned from. Ties go to the alphabetically first language. Without
@@ -22,12 +24,14 @@ from .common import blocks, fold
 
 #: Characters of training text for each language, and the most documents read for it.
 SAMPLE_CHARS, SAMPLE_DOCS = 24_000, 48
-#: Letters (by frequency in the samples) that have a code of their own.
-MAX_LETTERS = 60
-#: Texts are parsed in pieces of this many characters, all pieces of a block in step.
+#: The letters, by frequency in the samples, whose moves are in a dense table; those of others are searched.
+DENSE = 60
+#: Texts are parsed in pieces of this many characters, all pieces of a block in step, until each begins as the one before it ends.
 PIECE = 256
 #: Codes: of letters outside the alphabet, of whatever is no letter, of padding, between sampled documents.
 UNKNOWN, SPACE, PAD, BREAK = 0, 1, 2, 3
+#: What stands between sampled stretches, and the factor of the state in a searched move's key.
+BETWEEN, WIDE = "\n\0\n", 1 << 21
 #: Phrases a character beyond which a text resembles none of the languages.
 REJECT_RATE = 0.62
 
@@ -43,11 +47,14 @@ def sample(docs: DataFrame, held_out_folds: int = 5) -> dict[str, str]:
     if not counts:
         return {}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 40))
-    bound = F.lit(0)
+    bound, share = F.lit(0), F.lit(0)
     for lang, n in sorted(counts.items()):
-        bound = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * SAMPLE_DOCS / n) * (1 << 40)))).otherwise(bound)
+        mine = F.col("lang") == lang
+        bound = F.when(mine, F.lit(int(min(1.0, 2 * SAMPLE_DOCS / n) * (1 << 40)))).otherwise(bound)
+        share = F.when(mine, F.lit(max(200, SAMPLE_CHARS // min(n, SAMPLE_DOCS)))).otherwise(share)
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - share + 1, F.lit(1))).cast("int") + 1
     rows = (
-        known.select("lang", draw.alias("d"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        known.select("lang", draw.alias("d"), F.substring("text", place, share).alias("text"))
         .where(F.col("d") < bound)
         .orderBy("d", "text")
         .limit(4 * SAMPLE_DOCS * len(counts))
@@ -58,11 +65,7 @@ def sample(docs: DataFrame, held_out_folds: int = 5) -> dict[str, str]:
         mine = out.setdefault(r["lang"], [])
         if len(mine) < SAMPLE_DOCS:
             mine.append(r["text"])
-    spread = {}
-    for lang, texts in out.items():
-        each = max(200, SAMPLE_CHARS // max(1, min(len(texts), SAMPLE_DOCS)))
-        spread[lang] = "\n\n".join(t[:each] for t in texts)
-    return spread
+    return {lang: BETWEEN.join(texts) for lang, texts in out.items()}
 
 
 def unicode_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +88,11 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
 
 
-def automaton(codes: list[int], letters: int) -> np.ndarray:
-    """Moves of the suffix automaton of ``codes``, flat: state * letters + code.
+def automaton(codes: list[int], letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Moves of the suffix automaton of ``codes``: those of codes below ``letters`` flat, at state * letters + code, others as sorted keys and values.
 
     A value of 0 or more is the next state times ``letters``. Where the phrase can't grow it is the
-    complement of the state that a new phrase beginning with that code reaches.
+    complement of the state that a new phrase beginning with that code reaches. A key is state * WIDE + code.
     """
     move: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -120,12 +123,17 @@ def automaton(codes: list[int], letters: int) -> np.ndarray:
     dead = len(move) * letters
     fresh = np.array([~(move[0][c] * letters if c in move[0] else dead) for c in range(letters)], dtype=np.int32)
     flat = np.tile(fresh, (len(move) + 1, 1))
+    searched: list[tuple[int, int]] = []
     for s, ways in enumerate(move):
         for c, to in ways.items():
-            flat[s, c] = to * letters
+            if c < letters:
+                flat[s, c] = to * letters
+            else:
+                searched.append((s * WIDE + c, to * letters))
     flat[:, UNKNOWN] = ~dead
     flat[:, PAD] = dead
-    return np.ascontiguousarray(flat.reshape(-1))
+    keys, values = np.array(sorted(searched), dtype=np.int64).reshape(-1, 2).T
+    return np.ascontiguousarray(flat.reshape(-1)), np.ascontiguousarray(keys), values.astype(np.int32)
 
 
 class Model:
@@ -137,20 +145,20 @@ class Model:
         found = np.concatenate([lower[points(texts[x])] for x in self.langs])
         found = found[letter[found]]
         values, counts = np.unique(found, return_counts=True)
-        chosen = np.sort(values[np.lexsort((values, -counts))[:MAX_LETTERS]])
-        self.size = BREAK + 1 + len(chosen)
-        own = np.zeros(0x110000, dtype=np.uint8)
-        own[chosen] = np.arange(BREAK + 1, self.size, dtype=np.uint8)
-        self.code = np.where(letter, own[lower], SPACE).astype(np.uint8)
+        chosen = values[np.lexsort((values, -counts))]
+        self.size = BREAK + 1 + min(DENSE, len(chosen))
+        own = np.zeros(0x110000, dtype=np.int32)
+        own[chosen] = np.arange(BREAK + 1, BREAK + 1 + len(chosen), dtype=np.int32)
+        self.code = np.where(letter, own[lower], SPACE).astype(np.int32)
         self.letter = letter
         self.moves = []
         for lang in self.langs:
             codes: list[int] = []
-            for part in texts[lang].split("\n\n"):
+            for part in texts[lang].split(BETWEEN):
                 x = self.code[points(part)]
-                x = x[(x != SPACE) | (np.r_[SPACE, x[:-1]] != SPACE)]
+                x = x[(x != SPACE) | (np.r_[np.int32(SPACE), x[:-1]] != SPACE)]
                 codes += [*x.tolist(), BREAK]
-            self.moves.append(automaton([c for c in codes if c != UNKNOWN], self.size))
+            self.moves.append(automaton(codes, self.size))
 
     @staticmethod
     def of(texts: dict[str, str]) -> Model:
@@ -159,6 +167,33 @@ class Model:
             _cache[key] = Model(texts)
         return _cache[key]
 
+    def parse(self, language: int, steps: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases begun in each column of codes, from the given states on, and the states at the end."""
+        moves, keys, values = self.moves[language]
+        begin = len(moves) - self.size
+        phrases = np.zeros(len(state), dtype=np.int32)
+        rare = steps >= self.size
+        often = np.where(rare, UNKNOWN, steps) if rare.any() else steps
+        for codes, plain, odd in zip(steps, often, rare.any(axis=1).tolist(), strict=True):
+            to = moves.take(state + plain)
+            if odd:
+                at = np.flatnonzero(codes >= self.size)
+                grown = self.search(keys, values, (state[at] // self.size).astype(np.int64) * WIDE + codes[at])
+                fresh = self.search(keys, values, codes[at].astype(np.int64))
+                to[at] = np.where(grown >= 0, grown, ~np.where(fresh >= 0, fresh, begin))
+            new = to >> 31
+            phrases -= new
+            state = to ^ new
+        return phrases, state
+
+    @staticmethod
+    def search(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The values of the keys, -1 where there is none."""
+        if not len(keys):
+            return np.full(len(wanted), -1, dtype=np.int32)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], np.int32(-1))
+
     def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases a character by language, and whether there is a letter, for each text."""
         n = len(texts)
@@ -167,28 +202,32 @@ class Model:
         owner = np.repeat(np.arange(n), lens)
         has = np.bincount(owner[self.letter[flat]], minlength=n) > 0
         x = self.code[flat]
-        keep = (x != SPACE) | (np.r_[np.uint8(SPACE), x[:-1]] != SPACE) | (np.r_[-1, owner[:-1]] != owner)
+        keep = (x != SPACE) | (np.r_[np.int32(SPACE), x[:-1]] != SPACE) | (np.r_[-1, owner[:-1]] != owner)
         x, owner = x[keep], owner[keep]
         lens = np.bincount(owner, minlength=n)
         begins = np.cumsum(lens) - lens
         pieces = -(-lens // PIECE)
         which = np.repeat(np.arange(n), pieces)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         grid = np.full((len(which), PIECE), PAD, dtype=np.int32)
         place = np.arange(len(x)) - begins[owner]
         row = (np.cumsum(pieces) - pieces)[owner] + place // PIECE
         grid[row, place % PIECE] = x
-        del nth
+        del place, row, owner, flat
         steps = np.ascontiguousarray(grid.T)
+        first = np.r_[-1, which[:-1]] != which
         out = np.zeros((n, len(self.langs)))
-        for j, moves in enumerate(self.moves):
-            state = np.full(len(which), len(moves) - self.size, dtype=np.int32)
-            phrases = np.zeros(len(which), dtype=np.int32)
-            for codes in steps:
-                to = moves.take(state + codes)
-                new = to >> 31
-                phrases -= new
-                state = to ^ new
+        for j, (moves, _, _) in enumerate(self.moves):
+            begin = np.int32(len(moves) - self.size)
+            entry = np.full(len(which), begin, dtype=np.int32)
+            phrases, end = self.parse(j, steps, entry)
+            while True:
+                # a piece goes on in the state in which the one before it ends
+                due = np.where(first, begin, np.r_[begin, end[:-1]])
+                late = np.flatnonzero(due != entry)
+                if not len(late):
+                    break
+                entry[late] = due[late]
+                phrases[late], end[late] = self.parse(j, steps[:, late], entry[late])
             out[:, j] = np.bincount(which, weights=phrases, minlength=n)
         return out / np.maximum(lens, 1)[:, None], has
 
@@ -208,7 +247,7 @@ def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
 
 
 def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """``doc_id, text_rate, lang_pred, score`` of every row, by the samples in ``texts``."""
+    """``doc_id, lang_pred, score, phrase_rate`` of every row, by the samples in ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(texts) if texts else None

@@ -26,17 +26,44 @@ def greedy(model, j, codes):
     return n
 
 
-def test_parsing_equals_the_longest_matches():
-    texts = {"a": "abra cadabra abrakadabra", "b": "lorem ipsum dolor sit amet"}
+HAN = "".join(chr(0x4E00 + 7 * i) for i in range(400))
+GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
+CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+
+
+def drawn(rng, letters, n):
+    words = ["".join(rng.choice(list(letters), rng.integers(1, 6))) for _ in range(80)]
+    return " ".join(words[i] for i in rng.integers(0, 80, n))
+
+
+@pytest.mark.parametrize("dense", [3, L.DENSE])
+@pytest.mark.parametrize("piece", [7, L.PIECE])
+def test_parsing_equals_the_longest_matches(monkeypatch, dense, piece):
+    monkeypatch.setattr(L, "DENSE", dense)
+    monkeypatch.setattr(L, "PIECE", piece)
+    rng = np.random.default_rng(4)
+    own = {"el": drawn(rng, GREEK, 300), "ru": drawn(rng, CYRILLIC, 300), "zh": drawn(rng, HAN, 300)}
+    texts = {"a": "abra cadabra abrakadabra", "b": "lorem ipsum dolor sit amet"} | own
     m = L.Model(texts)
-    chars = "".join(chr(65 + c) for c in range(m.size))
-    plain = {j: "".join(chars[c] for c in m.code[L.points(texts[lang])]) + "!" for j, lang in enumerate(m.langs)}
-    for text in ("abracadabra", "dolor abra", "a", "zzz", "ipsumlorem cad"):
-        rate, has = m.rates([text])
-        codes = "".join(chars[c] if c != L.UNKNOWN else "?" for c in m.code[L.points(text)])
+    chars = lambda codes: "".join(chr(0x1000 + c) for c in codes)
+    plain = {j: chars(m.code[L.points(texts[lang])]) + "!" for j, lang in enumerate(m.langs)}
+    many = ["abracadabra", "dolor abra", "a", "zzz", "ipsumlorem cad", own["ru"], own["zh"][:1100], "x".join(own["el"][i : i + 40] for i in range(0, 900, 30))]
+    many += [drawn(rng, GREEK + CYRILLIC + "abx", 250), drawn(rng, HAN + "雪", 300), own["ru"][100:600] + "ф" + own["ru"][3:700]]
+    rate, has = m.rates(many)
+    assert has.all()
+    for text, found in zip(many, rate):
+        codes = "".join("?" if c == L.UNKNOWN else chr(0x1000 + c) for c in m.code[L.points(text)])
         for j in plain:
-            assert round(rate[0, j] * len(text)) == greedy(plain, j, codes), (text, j)
-        assert has[0]
+            assert round(found[j] * len(text)) == greedy(plain, j, codes), (text[:40], j)
+    assert [m.langs[k] for k in rate.argmin(axis=1)[5:8]] == ["ru", "zh", "el"]
+    # a text that is the sample itself is one phrase, however long
+    assert round(rate[5][m.langs.index("ru")] * len(own["ru"])) == 1
+
+
+def test_sample_is_of_whole_texts(spark):
+    rows = [(i, "opening " * 400 + "middle " * 400 + "closing " * 400, "en") for i in range(60)]
+    got = L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["en"]
+    assert all(x in got for x in ("opening", "middle", "closing")) and len(got) <= L.SAMPLE_CHARS + 3 * L.SAMPLE_DOCS
 
 
 def test_held_out_accuracy(spark):
