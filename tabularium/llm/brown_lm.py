@@ -1,12 +1,14 @@
 """Language-model scoring by Brown class-based bigrams.
 
-The training documents' word counts and the bigram counts of their MERGED most frequent words cover the whole corpus. Exchange
-clustering assigns those words to CLASSES classes, moving each word to the class that raises the bigram likelihood most. Any other word
-belongs to one of ENDINGS classes by its last two bytes, and a text's end is a class of its own (a text begins after one).
-A text's probability is that of its class transitions times that of each word given its class, both with additive smoothing.
+The training documents' word counts and bigram counts cover the whole corpus. Exchange clustering assigns the MERGED most frequent words
+to CLASSES classes, moving each word to the class that raises the bigram likelihood most. Every other word of the KNOWN most
+frequent ones then goes to the class that raises it most, by a distributed pass over its own counts next to the classes. Words beyond
+that table, and words that never occurred, belong to one of ENDINGS classes by their last two bytes, and a text's end is a class of its own (a text begins
+after one). A text's probability is that of its class transitions times that of each word given its class, both with additive
+smoothing.
 
-The KNOWN most frequent words, a bounded table, are looked up in the scoring tasks; the counts of all others are joined on, so the vocabulary
-may be of any size.
+The KNOWN most frequent words, a bounded table that is filled in order of count and then of the word, are looked up in the scoring tasks; the
+counts of all others are joined on, so the vocabulary may be of any size.
 
 Edge cases: null and empty texts are the end alone. Without training documents every count is 0 and all probabilities come from
 the smoothing. Rows with one id, or none, are scored each on its own; a null id is held out of nothing (its fold is null) and not learned from. Extra columns
@@ -38,7 +40,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    """The class, within ENDINGS, of a word that isn't merged."""
+    """The class, within ENDINGS, of a word beyond the table."""
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
@@ -69,7 +71,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def code_pairs(train: DataFrame, place: dict[bytes, int], n: int, other: bool) -> np.ndarray:
-    """Counts of neighbouring codes, an n by n table; a word's code is its place, others' by ending (``other``) or none.
+    """Counts of neighbouring codes, an n by n table; a word's code is that in ``place``, others' by ending (``other``) or none.
 
     n is bounded by MERGED or by the number of classes, so the table is too.
     """
@@ -168,24 +170,85 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The frequent words and their counts, by falling count.
+    """The ``most`` most frequent words and their counts, by falling count, then by word.
 
-    A histogram over eighths of octaves gives the count from which on no more than ``most`` words are left, so only those
-    reach the driver, however many partitions hold the counts.
+    A histogram over eighths of octaves gives the levels that fit as a whole; of the next one only the first words in order are
+    fetched, so no more than ``most`` words reach the driver, however many partitions hold the counts.
     """
     level = F.floor(F.log2("c") * 8).cast("int")
-    total, lowest = 0, None
+    total, lowest, partial = 0, None, None
     for r in sorted(counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["l"]):
-        total += r["n"]
-        if total > most:
+        if total + r["n"] > most:
+            partial = r["l"]
             break
+        total += r["n"]
         lowest = r["l"]
-    if lowest is None:
-        return []
-    rows = counts.where(level >= lowest).collect()
+    rows = [] if lowest is None else counts.where(level >= lowest).collect()
+    if partial is not None and total < most:
+        rows += counts.where(level == partial).orderBy(F.desc("c"), "word").limit(most - total).collect()
     return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
+def assign(train: DataFrame, top: list[tuple[bytes, int]], found: np.ndarray, classes: int) -> dict[bytes, int]:
+    """A class for every word of the table; ``found`` has those of the first.
+
+    Two codes follow the classes': of a word without a class, and of a text's end. Cell d of a word counts how often code d comes after it, cell
+    classes + 2 + d how often before it; the cells are bounded by the table's size times that of the codes.
+    """
+    n, m = classes + 2, len(found)
+    place = {w: i for i, (w, _) in enumerate(top)}
+    of = np.full(len(top) + 1, classes, dtype=np.int64)  # the last is for words that are not in the table
+    of[:m] = found
+    variable = train.sparkSession.sparkContext.broadcast((place, of))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, of = variable.value
+        beyond = len(of) - 1
+        for whole in batches:
+            for batch in blocks(whole):
+                cells = []
+                for text in as_bytes(batch.column("text")):
+                    words = words_of(text)
+                    row = np.fromiter(map(place.get, words, repeat(beyond)), dtype=np.int64, count=len(words))
+                    code = np.r_[n - 1, of[row], n - 1]
+                    # the codes' own pairs are rows behind the words'
+                    cells.append(np.concatenate([row * 2 * n + code[2:], row * 2 * n + n + code[:-2], (beyond + 1 + code[:-1]) * 2 * n + code[1:]]))
+                cell, times = np.unique(np.concatenate(cells), return_counts=True)
+                ok = cell // (2 * n) != beyond
+                yield pa.RecordBatch.from_arrays([pa.array(cell[ok] // (2 * n), pa.int32()), pa.array(cell[ok] % (2 * n), pa.int32()), pa.array(times[ok])], ["word", "cell", "n"])
+
+    cells = cut(train.mapInArrow(count, "word int, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n")))
+    between = np.zeros((n, n))
+    for r in cells.where(F.col("word") > len(top)).collect():
+        between[r["word"] - len(top) - 1, r["cell"]] = r["n"]
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.Table.from_batches([b]) for b in batches]
+        if not parts:
+            return
+        t = pa.concat_tables(parts)
+        word, inverse = np.unique(t.column("word").to_numpy(), return_inverse=True)
+        for lo in range(0, len(word), 4096):
+            some = (inverse >= lo) & (inverse < lo + 4096)
+            own = np.zeros((min(4096, len(word) - lo), 2 * n))
+            own[inverse[some] - lo, t.column("cell").to_numpy()[some]] = t.column("n").to_numpy()[some]
+            after, before = own[:, :n], own[:, n:]
+            gain = np.empty((len(own), classes))
+            for c in range(classes):
+                row, col = between[c], between[:, c]
+                gain[:, c] = (f(row + after) - f(row)).sum(axis=1) + (f(col + before) - f(col)).sum(axis=1)
+                gain[:, c] -= f(row.sum() + after.sum(axis=1)) - f(row.sum()) + f(col.sum() + before.sum(axis=1)) - f(col.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(word[lo : lo + 4096], pa.int32()), pa.array(gain.argmax(axis=1).astype(np.int32))], ["word", "class"])
+
+    if len(top) > m:
+        rest = cells.where((F.col("word") >= m) & (F.col("word") < len(top))).repartition("word").mapInArrow(choose, "word int, class int").toArrow()
+        of[rest.column("word").to_numpy()] = rest.column("class").to_numpy()
+    return {w: int(of[i]) for w, i in place.items()}
+
+
 class Model:
     """What the scoring tasks need; its size is bounded by KNOWN and the number of classes."""
 
@@ -195,7 +258,7 @@ class Model:
         self.n = len(pairs)
         self.place = {w: i for i, (w, _) in enumerate(top)}
         count = np.array([c for _, c in top], dtype=np.float64)
-        self.classes = np.array([of.get(w, self.n - 1 - ENDINGS + ending(w)) for w, _ in top], dtype=np.int64)
+        self.classes = np.array([of[w] for w, _ in top], dtype=np.int64)
         self.logs = np.log10(count + ALPHA)
         self.ends = np.log10(pairs[:, -1].sum() + ALPHA)
         self.known_end = pairs[:, -1].sum() > 0
@@ -233,7 +296,7 @@ def learn(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame]:
     bigrams = code_pairs(train, {w: i for i, w in enumerate(merged)}, max(1, len(merged)), False)
     classes = min(CLASSES, max(1, len(merged)))
     found = exchange(bigrams, classes) if merged else np.zeros(0, dtype=np.int64)
-    of = {w: int(c) for w, c in zip(merged, found, strict=True)}
+    of = assign(train, top, found, classes) if merged else {}
     n = classes + ENDINGS + 1
     pairs = code_pairs(train, of, n, True)
     sizes, kinds = np.zeros(n), np.zeros(n)
@@ -241,7 +304,7 @@ def learn(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame]:
         sizes[classes + r["e"]], kinds[classes + r["e"]] = r["c"], r["k"]
     tokens = int(sizes.sum()) + texts
     distinct = int(kinds.sum()) + (texts > 0)
-    for w, c in top[:MERGED]:
+    for w, c in top:
         for table, x in ((sizes, c), (kinds, 1)):
             table[of[w]] += x
             table[classes + ending(w)] -= x

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabularium.llm import brown_lm as B
 
@@ -81,7 +82,32 @@ def test_exchange_finds_alternating_groups():
 
 def test_beats_the_unigram_on_held_out_text(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    from pyspark.sql import functions as F
-
     r = B.score_all(df, *B.learn(df)).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).agg(F.sum("base_score"), F.sum("score")).first()
     assert r[1] > r[0]
+
+
+def test_many_words_of_one_count_still_give_classes(spark, monkeypatch):
+    """A level of the histogram that doesn't fit is taken in part, in order."""
+    monkeypatch.setattr(B, "KNOWN", 500)
+    monkeypatch.setattr(B, "MERGED", 50)
+    words = [f"w{i:05d}" for i in range(8000)]
+    df = spark.createDataFrame([(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(400)], "doc_id long, text string")
+    m, counts = B.learn(df)
+    assert [w for w in m.place] == [bytes(r["word"]) for r in counts.orderBy(F.desc("c"), "word").limit(500).collect()]
+    assert len(set(m.classes.tolist())) > 1 and (m.classes < B.CLASSES).all()
+    assert np.allclose((10**m.move).sum(axis=1), 1)
+
+
+def test_every_known_word_gets_the_class_of_its_neighbours(spark, monkeypatch):
+    """Rare words that stand where the words of one group stand go to that group's classes."""
+    monkeypatch.setattr(B, "MERGED", 12)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        words = [("a" if k % 2 else "b") + str(rng.integers(0, 6) if rng.random() < 0.9 else rng.integers(6, 60)) for k in range(40)]
+        rows.append((i, " ".join(words)))
+    m, _ = B.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    sides = {}
+    for w, i in m.place.items():
+        sides.setdefault(m.classes[i], set()).add(w[:1])
+    assert len(m.place) > 80 and all(len(x) == 1 for x in sides.values())
