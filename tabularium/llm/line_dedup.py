@@ -182,14 +182,17 @@ def _rest(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         left = cut(left.where(F.col("n") <= BLOCK).union(_open(cut(dealt))))
     marked = marks(texts.join(left.select("id").distinct(), "id", "left_semi"))
     many = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = cut(left.join(marked, "id").withColumn("many", many).withColumn("at", F.pmod(F.xxhash64("id", F.lit("block")), many).cast("int")))
+    # a pair is compared in the first of the bands that it shares
+    own = left.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    blocks = cut(left.join(marked, "id").join(own, "id").withColumn("many", many).withColumn("at", F.pmod(F.xxhash64("id", F.lit("block")), many).cast("int")))
     # every pair of a band's blocks is a task's work of its own
     one = blocks.withColumn("other", F.explode(F.sequence(F.col("at"), F.col("many") - 1))).alias("x")
     two = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at")))).alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.other")) & (F.col("x.other") == F.col("y.at"))
     new = (F.col("x.c") != F.col("y.c")) & ((F.col("x.at") < F.col("y.at")) | (F.col("x.id") < F.col("y.id")))
-    pairs = one.hint("merge").join(two, met & new & _may_be_like("x", "y"))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    once = F.array_intersect("x.keys", "y.keys")[0] == F.col("x.key")
+    pairs = one.hint("merge").join(two, met & new & _may_be_like("x", "y") & once)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def line_components(lines: DataFrame) -> DataFrame:
