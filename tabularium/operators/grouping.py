@@ -191,6 +191,45 @@ class Grouping:
         rows = F.sort_array(F.collect_list(r))
         return self.ordered(self.df.groupBy(*self.keys).agg(rows.alias("rows"), F.min(r).alias("first_row"), F.max(r).alias("last_row")))
 
+    def _numbered(self) -> DataFrame:
+        """The keys with ``group``, their 1-based place in key order."""
+        from .sorting import argsort
+
+        keys = self.df.select(*self.keys).distinct().withColumn("__row", F.monotonically_increasing_id())
+        return argsort(keys, [f"{k}" for k in self.keys], "__row", "group").drop("__row")
+
+    def group_ids(self, to: str = "group") -> DataFrame:
+        """Every row with its group's 1-based number in key order; null for rows in no group."""
+        found = self._numbered().select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(self.keys)], F.col("group").alias(to))
+        on = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)])
+        return self.all.join(found, on, "left").drop(*[f"__k{i}" for i in range(len(self.keys))])
+
+    def gather(self, name: str, group: int) -> DataFrame:
+        """The values of one group, by its number, in row order."""
+        return self.group_ids("__group").where(F.col("__group") == group).orderBy(self.row).select(self.row, name)
+
+    def shape(self) -> DataFrame:
+        """``ngroups, max_size``, as one row."""
+        return self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("ngroups"), F.coalesce(F.max("n"), F.lit(0)).alias("max_size"))
+
+    def reduce(self, name: str, func, to: str, weight: str | None = None) -> DataFrame:
+        """A number for each group from ``func(values, is_valid, weights)``, numpy arrays in row order; a group has to fit a task.
+
+        Values are doubles, 0 where the column is null; weights are None without a weight column. A reducer may be any object that can be
+        pickled and called, and so may hold parameters of its own.
+        """
+        keys = list(self.keys)
+        x = F.col(f"`{name}`").cast("double")
+        held = self.df.select(*[F.col(f"`{k}`") for k in keys], F.col(self.row).alias("__row"), x.isNotNull().alias("__ok"), F.coalesce(x, F.lit(0.0)).alias("__x"), (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("__w"))
+
+        def run(frame):
+            frame = frame.sort_values("__row")
+            value = func(frame["__x"].to_numpy(), frame["__ok"].to_numpy(), frame["__w"].to_numpy() if weight else None)
+            return frame[keys].iloc[:1].assign(**{to: None if value is None else float(value)})
+
+        schema = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in keys) + f", `{to}` double"
+        return self.ordered(held.groupBy(*keys).applyInPandas(run, schema))
+
     def broadcast(self, name: str, stat: str, to: str, **options) -> DataFrame:
         """Every row with its group's statistic, by joining the aggregate back (no group is held in one task)."""
         found = self.agg([(name, stat, to, options)]) if options else self.agg([(name, stat, to)])
@@ -221,7 +260,6 @@ def drop_duplicates(df: DataFrame, keys: Sequence[str], keep: str, row: str) ->
 
 
 def duplicated(df: DataFrame, keys: Sequence[str], keep: str, row: str, to: str = "duplicated") -> DataFrame:
-    w = Window.partitionBy(*keys)
-    r = F.col(row)
-    same = {"first": r != F.min(r).over(w), "last": r != F.max(r).over(w), "none": F.count(F.lit(1)).over(w) > 1}
-    return df.withColumn(to, same[keep])
+    """Whether a row is left out by drop_duplicates; the kept rows are joined back, so no key's rows are held in one task."""
+    kept = drop_duplicates(df, keys, keep, row).select(F.col(row).alias("__keep"))
+    return df.join(kept, F.col(row) == F.col("__keep"), "left").withColumn(to, F.col("__keep").isNull()).drop("__keep")

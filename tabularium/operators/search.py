@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .sorting import ranged
+
 
 def match(left: DataFrame, key: str, right: DataFrame, other: str, row: str, to: str = "match") -> DataFrame:
     """The smallest right row number with the key, 0 for none."""
@@ -43,7 +45,7 @@ def bounds(data: DataFrame, value: str, targets: DataFrame, target: str) -> Data
     v = data.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
     t = targets.select(F.col(target).alias("x")).where("x is not null").distinct().withColumn("t", F.lit(1))
     both = v.join(t, "x", "full").select("x", F.coalesce("n", F.lit(0)).alias("n"), F.col("t").isNotNull().alias("t"))
-    parts = both.repartitionByRange("x").withColumn("p", F.spark_partition_id())
+    parts = ranged(both, [F.col("x")]).withColumnRenamed("__part", "p")
     sums = parts.groupBy("p").agg(F.sum("n").alias("s"))
     before = sums.select("p", (F.sum("s").over(Window.orderBy("p")) - F.col("s")).alias("b"))
     run = F.sum("n").over(Window.partitionBy("p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
 from .graph import connected_components
 
 
@@ -90,23 +91,29 @@ def pairs(df: DataFrame, row: str, axes: Sequence[str], radius: float, box: Sequ
 def knn(df: DataFrame, row: str, axes: Sequence[str], k: int, radius: float) -> DataFrame:
     """``a, rank, b, distance``: the k nearest others of each row, ties to the smaller row.
 
-    Rings of doubled radius are searched for the rows that have fewer than k neighbours so far, until all have k.
+    Rings of doubled radius are searched for the rows that have fewer than k neighbours so far, until all have k. Rows with
+    a coordinate that is null or not finite take no part.
     """
+    finite = [F.col(a).isNotNull() & (F.abs(F.col(a)) < F.lit(float("inf"))) for a in axes]
+    df = df.where(reduce(Column.__and__, finite)).select(row, *axes)
     todo, done, total = df, None, df.count()
     want = min(k, total - 1)
     if want < 1:
         return cross_pairs(df.limit(0), df.limit(0), row, row, axes, radius).select("a", F.lit(1).alias("rank"), "b", "distance")
     order = Window.partitionBy("a").orderBy("distance", "b")
-    while True:
+    # beyond the widest extent every row is within the radius
+    extent = df.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    for _ in range(1 + max(0, math.ceil(math.log2(max(1.0, len(axes) * max(extent) / radius)))) + 1):
         near = cross_pairs(todo, df, row, row, axes, radius).where("a != b")
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want)
         full = ranked.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == want).select("a")
-        part = ranked.join(full, "a", "left_semi").select("a", "rank", "b", "distance")
+        part = cut(ranked.join(full, "a", "left_semi").select("a", "rank", "b", "distance"))
         done = part if done is None else done.union(part)
-        todo = todo.join(full, F.col(row) == F.col("a"), "left_anti")
+        todo = cut(todo.join(part.select("a").distinct(), F.col(row) == F.col("a"), "left_anti"))
         if todo.isEmpty():
             return done
         radius *= 2
+    raise RuntimeError("rows are left without neighbours; are the row numbers unique?")
 
 
 def friends(df: DataFrame, row: str, axes: Sequence[str], linking: float, box: Sequence[float] | None = None, min_size: int = 1) -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .grouping import MAD_SCALE, valid
+from .sorting import argsort, ranged
 
 
 def population(df: DataFrame, name: str, weight: str | None = None, skipnan: bool = True) -> DataFrame:
@@ -57,29 +58,31 @@ def means(df: DataFrame, name: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, name: str, qs: Sequence[float], method: str = "linear") -> DataFrame:
-    """``q, value``. The linear rule is Spark's exact percentile; the others pick positions from a distributed sort, never from one task's list."""
-    p = population(df, name)
-    if method == "linear":
-        row = p.agg(F.percentile("x", F.array(*[F.lit(float(q)) for q in qs])).alias("v"))
-        return row.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(q)) for q in qs]).alias("q"), F.col("v"))).alias("z")).select(F.col("z.q").alias("q"), F.col("z.v").alias("value"))
+    """``q, value``: positions picked from a distributed sort, never from one task's list; the linear rule weighs two of them. Null without values."""
+    return _picked(population(df, name).select("x"), qs, method)
+
+
+def _picked(p: DataFrame, qs: Sequence[float], method: str = "linear") -> DataFrame:
     n = p.count()
-    need: dict[float, list[int]] = {}
+    if not n:
+        return p.sparkSession.createDataFrame([(float(q), None) for q in qs], "q double, value double")
+    need: dict[float, list[tuple[int, float]]] = {}
     for q in qs:
         at = (n - 1) * q
+        lo, hi = math.floor(at), math.ceil(at)
         need[q] = {
-            "lower": [math.floor(at)], "higher": [math.ceil(at)], "midpoint": [math.floor(at), math.ceil(at)], "nearest": [round(at)], "inverted_cdf": [max(math.ceil(n * q) - 1, 0)],
+            "linear": [(lo, 1 - (at - lo)), (hi, at - lo)] if hi > lo else [(lo, 1.0)], "lower": [(lo, 1.0)], "higher": [(hi, 1.0)], "midpoint": [(lo, 0.5), (hi, 0.5)],
+            "nearest": [(round(at), 1.0)], "inverted_cdf": [(max(math.ceil(n * q) - 1, 0), 1.0)],
         }[method]
-    spots = p.sparkSession.createDataFrame([(float(q), i + 1) for q, v in need.items() for i in v], "q double, place long")
-    from .sorting import argsort
-
-    placed = argsort(p.select("x").withColumn("r", F.monotonically_increasing_id()), ["x"], "r", "place")
-    return placed.join(F.broadcast(spots), "place").groupBy("q").agg(F.avg("x").alias("value"))
+    spots = p.sparkSession.createDataFrame([(float(q), i + 1, w) for q, v in need.items() for i, w in v], "q double, place long, share double")
+    placed = argsort(p.withColumn("r", F.monotonically_increasing_id()), ["x"], "r", "place")
+    return placed.join(F.broadcast(spots), "place").groupBy("q").agg(F.sum(F.col("x") * F.col("share")).alias("value"))
 
 
 def weighted_quantile(df: DataFrame, name: str, weight: str, q: float) -> DataFrame:
     """The least value at which the cumulative weight reaches q of the total: equal values are merged first, and sums run within range partitions."""
     p = population(df, name, weight).groupBy("x").agg(F.sum("w").alias("w"))
-    parts = p.repartitionByRange("x").withColumn("p", F.spark_partition_id())
+    parts = ranged(p, [F.col("x")]).withColumnRenamed("__part", "p")
     sums = parts.groupBy("p").agg(F.sum("w").alias("s"))
     before = sums.select("p", (F.sum("s").over(Window.orderBy("p")) - F.col("s")).alias("b"), F.sum("s").over(Window.partitionBy()).alias("total"))
     run = F.sum("w").over(Window.partitionBy("p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
@@ -90,10 +93,11 @@ def weighted_quantile(df: DataFrame, name: str, weight: str, q: float) -> DataFr
 def mad(df: DataFrame, name: str, scaled: bool = True, center: float | None = None) -> DataFrame:
     p = population(df, name)
     if center is None:
-        p = p.join(F.broadcast(p.agg(F.percentile("x", F.lit(0.5)).alias("m"))))
+        p = p.join(F.broadcast(_picked(p.select("x"), [0.5]).select(F.col("value").alias("m"))))
     else:
         p = p.withColumn("m", F.lit(center))
-    return p.agg((F.percentile(F.abs(F.col("x") - F.col("m")), F.lit(0.5)) * F.lit(MAD_SCALE if scaled else 1.0)).alias("mad"))
+    away = _picked(p.select(F.abs(F.col("x") - F.col("m")).alias("x")), [0.5])
+    return away.select((F.col("value") * F.lit(MAD_SCALE if scaled else 1.0)).alias("mad"))
 
 
 def mode(df: DataFrame, name: str) -> DataFrame:
@@ -103,8 +107,6 @@ def mode(df: DataFrame, name: str) -> DataFrame:
 
 def trim_mean(df: DataFrame, name: str, fraction: float) -> DataFrame:
     """Mean without the floor(fraction * n) least and greatest values."""
-    from .sorting import argsort
-
     p = population(df, name).select("x")
     n = p.count()
     k = int(fraction * n)
@@ -131,7 +133,7 @@ def sigma_clip(df: DataFrame, name: str, sigma: float = 3.0, max_rounds: int = 1
 def midranks(df: DataFrame, name: str, to: str) -> DataFrame:
     """Average ranks. Equal values are counted first, and the running total over distinct values runs within range partitions."""
     counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
-    parts = counts.repartitionByRange("__x").withColumn("__p", F.spark_partition_id())
+    parts = ranged(counts, [F.col("__x")]).withColumnRenamed("__part", "__p")
     sums = parts.groupBy("__p").agg(F.sum("__n").alias("__s"))
     before = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__b"))
     run = F.sum("__n").over(Window.partitionBy("__p").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
@@ -216,10 +218,22 @@ def bin_linear(df: DataFrame, name: str, lo: float, hi: float, cells: int) -> Da
 
 
 def running(df: DataFrame, name: str, kind: str, row: str, to: str, by: Sequence[str] = ()) -> DataFrame:
-    """Cumulative sum, prod, max or min in row order within groups; an excluded element is null and the fold goes on past it."""
+    """Cumulative sum, prod, max or min in row order within groups; an excluded element is null and the fold goes on past it.
+
+    Without groups the fold runs within range partitions and takes on the folds of those before.
+    """
     x = valid(df, name)
-    w = Window.partitionBy(*by).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
     fold = {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min}[kind]
+    if not by:
+        held = ranged(df.withColumn("__x", x), [F.col(row)])
+        parts = held.groupBy("__part").agg(fold("__x").alias("__f"))
+        before = parts.select("__part", fold("__f").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__b"))
+        upto = Window.partitionBy("__part").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+        own = held.withColumn("__f", F.when(F.col("__x").isNotNull(), fold("__x").over(upto))).join(F.broadcast(before), "__part")
+        f, b = F.col("__f"), F.col("__b")
+        joined = {"sum": f + F.coalesce(b, F.lit(0.0)), "prod": f * F.coalesce(b, F.lit(1.0)), "max": F.greatest(f, b), "min": F.least(f, b)}[kind]
+        return own.withColumn(to, F.when(f.isNotNull(), joined)).drop("__part", "__x", "__f", "__b")
+    w = Window.partitionBy(*by).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(to, F.when(x.isNotNull(), fold(x).over(w)))
 
 

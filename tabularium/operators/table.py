@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .sorting import ranged
+
 _RANGE = {T.ByteType: (-(2**7), 2**7 - 1), T.ShortType: (-(2**15), 2**15 - 1), T.IntegerType: (-(2**31), 2**31 - 1), T.LongType: (-(2**63), 2**63 - 1)}
 
 
@@ -165,6 +167,8 @@ def dropna(df: DataFrame, names: Sequence[str] | None = None, how: str = "any",
 
 def _fill(df: DataFrame, name: str, row: str, by: Sequence[str], limit: int | None, back: bool) -> DataFrame:
     c, r = F.col(f"`{name}`"), F.col(row)
+    if not by:
+        return _fill_all(df, name, row, limit, back)
     w = Window.partitionBy(*by).orderBy(r.desc() if back else r.asc())
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     value = F.last(c, ignorenulls=True).over(upto)
@@ -176,6 +180,27 @@ def _fill(df: DataFrame, name: str, row: str, by: Sequence[str], limit: int | No
     return seen.withColumn(name, F.when(F.col("__place") - last <= limit, value)).drop("__place")
 
 
+def _fill_all(df: DataFrame, name: str, row: str, limit: int | None, back: bool) -> DataFrame:
+    """The fill of a whole table: within range partitions, with the last value, and its place, carried over from the partitions before."""
+    c, r = F.col(f"`{name}`"), F.col(row)
+    along = r.desc() if back else r.asc()
+    inside = Window.partitionBy("__part").orderBy(along)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged(df, [along]).withColumn("__place", F.row_number().over(inside))
+    full = F.when(c.isNotNull(), F.col("__place"))
+    parts = held.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.max(full).alias("__last"), F.max_by(c, full).alias("__value"))
+    order = Window.orderBy("__part")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    spread = parts.withColumn("__start", F.sum("__n").over(order) - F.col("__n"))
+    carried = spread.select("__part", "__start", F.last("__value", ignorenulls=True).over(earlier).alias("__carried"), F.last(F.col("__start") + F.col("__last"), ignorenulls=True).over(earlier).alias("__from"))
+    joined = held.withColumn("__own", F.last(c, ignorenulls=True).over(upto)).withColumn("__at", F.last(full, ignorenulls=True).over(upto)).join(F.broadcast(carried), "__part")
+    value = F.coalesce("__own", "__carried")
+    if limit is not None:
+        away = F.col("__start") + F.col("__place") - F.coalesce(F.col("__start") + F.col("__at"), F.col("__from"))
+        value = F.when(away <= limit, value)
+    return joined.withColumn(name, value).drop("__part", "__place", "__start", "__own", "__at", "__carried", "__from")
+
+
 def ffill(df: DataFrame, name: str, row: str, by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Nulls take the last value before them in row order, within groups of ``by``, at most ``limit`` in a run."""
     return _fill(df, name, row, by, limit, False)

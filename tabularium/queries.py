@@ -557,3 +557,83 @@ def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosmic_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = (F.col("p_size") / 25).alias("z")
     return cosmology.Cosmology().with_columns(read(spark, sf_dir, "part").select("p_partkey", z), "z", ["comoving", "luminosity", "angular", "lookback"])
+
+
+# -- whole tables and groups -----------------------------------------------------------------------------------------
+
+
+@query("select event_id, round(sum(value) over (order by event_id), 4) as total, max(value) over (order by event_id) as peak from events")
+def running_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = stats.running(read(spark, sf_dir, "events"), "value", "sum", "event_id", "total")
+    return rounded(stats.running(df, "value", "max", "event_id", "peak").select("event_id", "total", "peak"), "total")
+
+
+@query("""with g as (select event_id, case when event_id % 7 < 3 then value end as v from events)
+  select event_id, last_value(v ignore nulls) over (order by event_id) as ahead, case when v is not null or lead(v) over (order by event_id) is not null then coalesce(v, lead(v) over (order by event_id)) end as back from g""")
+def fill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("event_id") % 7 < 3, F.col("value"))
+    df = read(spark, sf_dir, "events").select("event_id", v.alias("ahead"), v.alias("back"))
+    return tables.bfill(tables.ffill(df, "ahead", "event_id"), "back", "event_id", limit=1).select("event_id", "ahead", "back")
+
+
+@query("""select p_partkey, rank() over (order by p_size) as competition, dense_rank() over (order by p_size) as dense,
+  rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2 as average, row_number() over (order by p_size, p_partkey) as ordinal from part""")
+def rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    for method in ("competition", "dense", "average", "ordinal"):
+        df = sorting.rank(df, "p_size", method, method, row="p_partkey")
+    return df.select("p_partkey", "competition", "dense", "average", "ordinal")
+
+
+@query("select distinct p_size from part")
+def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorting.unique(read(spark, sf_dir, "part"), "p_size")
+
+
+@query(f"select cast(count(distinct x) as bigint) as n from {HOLED}")
+def unique_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorting.unique_count(holed(spark, sf_dir), "x")
+
+
+@query("""select o_orderkey, o_totalprice, side from (select o_orderkey, o_totalprice, 0 as side from orders where o_orderstatus = 'F'
+  union all select o_orderkey, o_totalprice, 1 from orders where o_orderstatus = 'O')""")
+def merge_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "orders")
+    left, right = (df.where(F.col("o_orderstatus") == s).select("o_orderkey", "o_totalprice") for s in "FO")
+    return sorting.merge(left, right, "o_totalprice", "o_orderkey")
+
+
+@query("select quantile_disc(o_totalprice, 1.0) as o_totalprice from (select o_totalprice from orders order by o_totalprice limit (select cast(floor((count(*) - 1) * 0.75) + 1 as bigint) from orders))")
+def nth_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorting.nth_quantile(read(spark, sf_dir, "orders"), "o_totalprice", 0.75)
+
+
+@query("select p_partkey, dense_rank() over (order by p_brand, p_type) as \"group\" from part")
+def group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.Grouping(read(spark, sf_dir, "part"), "p_brand, p_type").group_ids().select("p_partkey", "group")
+
+
+@query("select p_partkey, p_retailprice from part where p_brand = (select p_brand from (select distinct p_brand from part order by 1 limit 3) order by 1 desc limit 1)")
+def group_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.Grouping(read(spark, sf_dir, "part"), "p_brand", row="p_partkey").gather("p_retailprice", 3)
+
+
+@query("select count(*) as ngroups, max(n) as max_size from (select count(*) as n from part group by p_brand)")
+def group_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.Grouping(read(spark, sf_dir, "part"), "p_brand").shape()
+
+
+class _Spread:
+    """A reducer with a parameter of its own: the weighted mean distance from a fixed value."""
+
+    def __init__(self, centre: float):
+        self.centre = centre
+
+    def __call__(self, values, is_valid, weights):
+        w = weights * is_valid
+        return (abs(values - self.centre) * w).sum() / w.sum()
+
+
+@query("select p_brand, round(sum(abs(p_retailprice - 1000) * p_size) / sum(p_size), 6) as spread from part group by 1")
+def group_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grouping.Grouping(read(spark, sf_dir, "part"), "p_brand", row="p_partkey").reduce("p_retailprice", _Spread(1000.0), "spread", "p_size"), "spread", digits=6)

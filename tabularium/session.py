@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
     A cluster names it in ``spark.checkpoint.dir``; only where neither that nor the context
-    has one (local tests) a temporary folder is set.
+    has one a temporary folder is set, and that in local mode alone: elsewhere the driver's disk is no shared folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -21,6 +22,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current.isEmpty():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tabularium-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -15,6 +16,8 @@ from ..operators.sorting import sort_by
 #: Names of the plain types in a schema file.
 TYPES = {"int32": T.IntegerType(), "int64": T.LongType(), "float32": T.FloatType(), "float64": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampNTZType(), "time": T.LongType()}
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class FieldSpec:
@@ -191,6 +194,8 @@ def read_table(
 
     Filters and chosen columns reach the scan; a sample depends only on seed and row, so it commutes with the filter.
     """
+    if qc not in ("off", "soft", "hard"):
+        raise ValueError("qc is off, soft or hard")
     df = spark.read.parquet(path)
     for old, new in (spec.remap if spec else {}).items():
         df = df.withColumnRenamed(old, new)
@@ -205,6 +210,8 @@ def read_table(
         broken = quality(df, spec)
         if broken and qc == "hard":
             raise QualityError(f"rows break the rules: {broken}")
+        if broken:
+            log.warning("rows break the rules: %s", broken)
     for r in [*(spec.filters if spec else []), *([rule] if rule else [])]:
         df = filter_rows(df, r)
     order = sort or (spec.sort if spec and spec.sort else None)
@@ -240,9 +247,7 @@ def write_table(df: DataFrame, path: str, *, spec: TableSpec | None = None, mask
     if spec:
         df = conform(df, spec)
         if broken := quality(df, spec):
-            import logging
-
-            logging.getLogger(__name__).warning("rows break the rules: %s", broken)
+            log.warning("rows break the rules: %s", broken)
     w = df.write.mode(mode).option("compression", compression)
     if row_group_bytes:
         w = w.option("parquet.block.size", row_group_bytes)

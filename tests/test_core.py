@@ -336,3 +336,39 @@ def test_library_stands_without_the_training_data_operators():
             for n in names:
                 if n.endswith(".py"):
                     assert not re.search(r"\bllm\b", open(os.path.join(folder, n)).read()), n
+
+
+def test_nearest_with_null_coordinates_ends(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 50.0, 0.0), (4, None, 1.0), (5, float("nan"), 1.0)], "id long, x double, y double")
+    got = {(r["a"], r["b"]) for r in spatial.knn(df, "id", ["x", "y"], 1, 0.5).collect()}
+    assert got == {(1, 2), (2, 1), (3, 2)}
+
+
+def test_places_do_not_depend_on_coalesced_partitions(spark):
+    df = spark.range(500).select("id", (F.col("id") * 7919 % 500).alias("v"))
+    assert sorting.argsort(df, "v", "id").where("position != v + 1").count() == 0
+
+
+def test_no_single_partition_over_rows(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).alias("v"))
+    for out in (stats.running(df, "v", "sum", "id", "t"), tables.ffill(df, "v", "id"), tables.bfill(df, "v", "id", limit=1), sorting.rank(df, "v", "average")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # the one-row-a-partition table of totals is the only one that is gathered
+        assert plan.count("SinglePartition") <= 1
+        assert out.count() == 100
+
+
+def test_soft_quality_warns(spark, tmp_path, caplog):
+    spark.createDataFrame([(1,), (9,)], "v int").write.parquet(str(tmp_path / "t"))
+    spec = parquet.TableSpec([parquet.FieldSpec("v", "int32", maximum=5)])
+    assert parquet.read_table(spark, str(tmp_path / "t"), spec=spec, qc="soft").count() == 2
+    assert "break the rules" in caplog.text
+    with pytest.raises(ValueError):
+        parquet.read_table(spark, str(tmp_path / "t"), spec=spec, qc="loud")
+
+
+def test_components_raise_when_not_final(spark):
+    from tabularium.operators.graph import connected_components
+
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"), "a", "b", max_rounds=1)
