@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
+#: Edges to a stored partition.
+ROWS = 100_000
+
 
 def _star(pairs: DataFrame, keep: str) -> DataFrame:
     """Link every neighbour of ``u`` to the least node near ``u``.
@@ -21,7 +24,7 @@ def _star(pairs: DataFrame, keep: str) -> DataFrame:
         out = near.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.where(F.col("m") != F.col("u")).select("u", F.col("m").alias("v"))
         )
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v"))
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -35,11 +38,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     alone = ends.where("a = b").select(F.col("a").alias("node")).distinct()
     current = cut(ends.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    mark, parts = None, 1 + current.count() // ROWS
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, "large")
-        current = cut(_star(large, "small"))
+        # no more files than the edges need: a round doesn't add any
+        current = cut(_star(large, "small").distinct().coalesce(parts))
         now = tuple(
             current.agg(
                 F.count(F.lit(1)),
@@ -48,7 +52,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         )
         if now == mark:
             break
-        mark = now
+        mark, parts = now, 1 + now[0] // ROWS
     else:
         raise RuntimeError(f"components are not final after {max_rounds} rounds")
     labelled = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
