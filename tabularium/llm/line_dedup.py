@@ -35,7 +35,7 @@ AGAIN = 20
 BITS = 24
 
 #: 64-bit words by which pairs are ruled out before they are compared (a power of 2), and lines of a band that one task compares with as many.
-WORDS, BLOCK = 32, 1024
+WORDS, BLOCK = 16, 1024
 #: Most bits of the table by which rows without a partner are left out of a shuffle: 32 MB. Beyond it all rows are shuffled.
 TABLE_BITS = 28
 #: Most keys that are broadcast to a join; beyond it both sides are shuffled.
@@ -185,14 +185,21 @@ def _rest(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     # a pair is compared in the first of the bands that it shares
     own = left.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     blocks = cut(left.join(marked, "id").join(own, "id").withColumn("many", many).withColumn("at", F.pmod(F.xxhash64("id", F.lit("block")), many).cast("int")))
+    once = F.array_intersect("x.keys", "y.keys")[0] == F.col("x.key")
+    ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    # a band of one block meets itself: both sides are dealt out by one exchange
+    single = blocks.where("many = 1")
+    alike = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") < F.col("y.id"))
+    pairs = single.alias("x").hint("merge").join(single.alias("y"), alike & _may_be_like("x", "y") & once).select(*ends)
+    blocks = blocks.where("many > 1")
+    if blocks.isEmpty():
+        return pairs
     # every pair of a band's blocks is a task's work of its own
     one = blocks.withColumn("other", F.explode(F.sequence(F.col("at"), F.col("many") - 1))).alias("x")
     two = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at")))).alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.other")) & (F.col("x.other") == F.col("y.at"))
     new = (F.col("x.c") != F.col("y.c")) & ((F.col("x.at") < F.col("y.at")) | (F.col("x.id") < F.col("y.id")))
-    once = F.array_intersect("x.keys", "y.keys")[0] == F.col("x.key")
-    pairs = one.hint("merge").join(two, met & new & _may_be_like("x", "y") & once)
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return pairs.union(one.hint("merge").join(two, met & new & _may_be_like("x", "y") & once).select(*ends))
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -215,9 +222,9 @@ def line_components(lines: DataFrame) -> DataFrame:
     # the later links join components of the earlier ones
     where = nodes.withColumnRenamed("component", "c")
     ends = more.join(where.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a", "left").join(where.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b", "left")
-    joined = cut(connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")).withColumnRenamed("node", "c")
+    joined = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b").withColumnRenamed("node", "c")
     every = where.union(joined.select(F.col("c").alias("node"), "c")).distinct()
-    return every.join(joined, "c", "left").select("node", F.coalesce("component", "c").alias("component"))
+    return cut(every.join(joined, "c", "left").select("node", F.coalesce("component", "c").alias("component")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -226,7 +233,7 @@ def classes(docs: DataFrame) -> DataFrame:
     (class_doc, class_line) is where the line's component occurs first.
     """
     lines = lines_of(docs)
-    nodes = cut(line_components(lines))
+    nodes = line_components(lines)
     shift = F.lit(1 << 31).cast("decimal(12,0)")
     place = (F.coalesce(F.col("doc_id"), F.lit(int(_LONE))).cast("decimal(20,0)") * shift + F.col("n")).cast("decimal(38,0)")
     placed = lines.select("doc_id", "k1", "k2", "n", *_ids(), place.alias("at"))
