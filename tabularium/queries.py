@@ -111,7 +111,7 @@ def scan_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet.read_table(spark, f"{sf_dir}/orders.parquet", rule="o_totalprice > 300000", columns=["o_orderkey", "o_totalprice"])
 
 
-@query()
+@query("select * from (select *, row_number() over () as row from orders) where row between 11 and 60")
 def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet.read_table(spark, f"{sf_dir}/orders.parquet", rows=(11, 60), row_index="row")
 
