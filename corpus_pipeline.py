@@ -50,11 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is a table in the shared checkpoint folder, which goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        docs, before = spark.read.parquet(path), path
     return docs
