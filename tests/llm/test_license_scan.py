@@ -48,3 +48,11 @@ def test_query(spark, sf):
     for r in rows:
         assert tuple(r)[1:6] == brute(texts[r["doc_id"]])
     assert L.scan_all(docs.limit(0)).count() == 0
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    rows = [(None, "under the MIT License"), (1, "Apache License"), (1, "Apache License"), (2, None), (None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, labels string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["base_labels"]) for r in L.scan_all(df).collect())
+    assert got == [(0, 0, ""), (0, 4, "mit"), (1, 2, "apache"), (1, 2, "apache"), (2, 0, "")]
+    assert L.scan_all(df.limit(0)).count() == 0

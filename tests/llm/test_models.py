@@ -120,6 +120,26 @@ def test_quality_edges(spark):
     assert len(rows) == 4 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
 
 
+def test_features_by_definition():
+    text = "Good good words. It is, is good\n| x | 42\nGood good words.".encode()
+    f = Q.features(text)
+    words, lines = text.split(), text.split(b"\n")
+    n = len(words)
+    assert f[0] == pytest.approx(np.log1p(n) / 10) and f[3] == pytest.approx(2 / len(text)) and f[5] == pytest.approx(2 / n)
+    assert f[12] == pytest.approx(len(set(words)) / n) and f[14] == pytest.approx(max(words.count(w) for w in words) / n)
+    assert f[16] == pytest.approx(sum(a == b for a, b in zip(words, words[1:])) / n) and f[17] == pytest.approx(len(set(lines)) / len(lines))
+    assert len(f) == Q.N_FEATURES and Q.features(None) == Q.features(b"") == [0.0] * Q.N_FEATURES
+
+
+def test_quality_of_empty_and_repeated_rows(spark):
+    schema = "doc_id long, text string"
+    model = Q.learn(np.array([Q.features(b"good words here")] * 5), np.array([Q.features(b"x | y | z")] * 5))
+    assert Q.score_all(spark.createDataFrame([], schema), model).count() == 0
+    rows = Q.score_all(spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "x | y")], schema), model).collect()
+    assert len(rows) == 3 and len({r["score"] for r in rows}) == 2
+    assert Q.fit(spark.createDataFrame([], schema), spark.createDataFrame([], "doc_id long, quality int")) is None
+
+
 # -- top k --------------------------------------------------------------------------------------------------------------
 
 
