@@ -88,6 +88,75 @@ def pairs(df: DataFrame, row: str, axes: Sequence[str], radius: float, box: Sequ
     return found.where("a != b") if directed else found.where("a < b")
 
 
+#: How the linking lengths of two rows make the pair's, and the most that this is, as a factor of the greatest length.
+COMBINE = {"max": (F.greatest, 1), "min": (F.least, 1), "mean": (lambda a, b: (a + b) / 2, 1), "sum": (lambda a, b: a + b, 2)}
+
+
+def _longest(df: DataFrame, lengths: Sequence[str | float], combine: str) -> list[float]:
+    """The most that each pair's length can be; 0 without rows."""
+    if combine not in COMBINE:
+        raise ValueError("combine is one of " + ", ".join(COMBINE))
+    named = [x for x in lengths if isinstance(x, str)]
+    row = df.agg(F.count(F.lit(1)), *[F.max(x) for x in named]).first()
+    most = dict(zip(named, row[1:], strict=True))
+    return [COMBINE[combine][1] * float(most[x] or 0) if isinstance(x, str) else float(x) for x in lengths]
+
+
+def linked_pairs(df: DataFrame, row: str, axes: Sequence[str], length: str, combine: str = "max", box: Sequence[float] | None = None) -> DataFrame:
+    """``a, b, distance`` with a < b of the pairs within the length that their rows' own lengths make.
+
+    A cell is as wide as the longest, so one outlying length makes all cells wide. Null lengths link nothing.
+    """
+    held = df.where(F.col(length).isNotNull())
+    (most,) = _longest(held, [length], combine)
+    if most <= 0:
+        most = 1e-300
+    near = pairs(held, row, axes, most, box)
+    one, two = held.select(F.col(row).alias("a"), F.col(length).alias("__x")), held.select(F.col(row).alias("b"), F.col(length).alias("__y"))
+    fits = F.col("distance") <= COMBINE[combine][0](F.col("__x"), F.col("__y"))
+    return near.join(one, "a").join(two, "b").where(fits).select("a", "b", "distance")
+
+
+def line_of_sight_pairs(
+    df: DataFrame, row: str, axes: Sequence[str], across: str | float, along: str | float, observer: Sequence[float] = (0.0, 0.0, 0.0), los: str | None = None, combine: str = "mean"
+) -> DataFrame:
+    """``a, b, across, along`` with a < b of the pairs close to each other across and along the line of sight.
+
+    Across is the chord between the directions at the mean distance, along the difference of ``los``, or of the distances. The limits are numbers
+    or columns. Directions are put into cells for each power of two of the farther row's distance, whose width follows from the greatest limit,
+    and meet by equality of direction and parallel cells; the nearer row is copied to the cells around it, for each power of two from its own
+    on. Rows at the observer or with a coordinate that isn't finite take no part.
+    """
+    shift = [F.col(a).cast("double") - o for a, o in zip(axes, observer, strict=True)]
+    far = F.sqrt(reduce(Column.__add__, [s * s for s in shift]))
+    limit = lambda x: (F.col(x) if isinstance(x, str) else F.lit(x)).cast("double")
+    held = df.select(F.col(row).alias("id"), far.alias("d"), *[(s / far).alias(f"n{i}") for i, s in enumerate(shift)], (F.col(los).cast("double") if los else far).alias("l"), limit(across).alias("p"), limit(along).alias("q"))
+    held = held.where("d > 0 and d < double('infinity') and abs(l) < double('infinity') and p >= 0 and q >= 0")
+    perp, par = _longest(held, ["p", "q"], combine)
+    perp, par = max(perp, 1e-9) * (1 + 1e-9), max(par, 1e-9) * (1 + 1e-9)
+    held = cut(held.withColumn("level", F.floor(F.log2("d")).cast("int")))
+    # a double has some two thousand powers of two at most
+    levels = sorted(r[0] for r in held.select("level").distinct().collect())
+    width = F.greatest(F.lit(2 * perp) / F.pow(F.lit(2.0), F.col("at")), F.lit(1e-9))
+    cells = [F.floor(F.col(f"n{i}") / width).cast("long") for i in range(len(axes))] + [F.floor(F.col("l") / par).cast("long")]
+    every = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("level")) if levels else F.array().cast("array<int>")
+    near = held.withColumn("at", F.explode(every))
+    for i, c in enumerate(cells):
+        near = near.withColumn(f"c{i}", c).withColumn(f"c{i}", F.explode(F.array(*[F.col(f"c{i}") + s for s in (-1, 0, 1)])))
+    there = held.withColumn("at", F.col("level"))
+    there = there.select("*", *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    keys = ["at", *[f"c{i}" for i in range(len(cells))]]
+    x, y = near.alias("x"), there.alias("y")
+    on = reduce(Column.__and__, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]) & (F.col("x.id") != F.col("y.id"))
+    chord = F.sqrt(reduce(Column.__add__, [F.pow(F.col(f"x.n{i}") - F.col(f"y.n{i}"), F.lit(2)) for i in range(len(axes))]))
+    mix = COMBINE[combine][0]
+    met = x.join(y, on & ((F.col("x.level") < F.col("y.level")) | (F.col("x.id") < F.col("y.id")))).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (chord * (F.col("x.d") + F.col("y.d")) / 2).alias("across"), F.abs(F.col("x.l") - F.col("y.l")).alias("along"),
+        (mix(F.col("x.p"), F.col("y.p")) if isinstance(across, str) else F.lit(float(across))).alias("p"), (mix(F.col("x.q"), F.col("y.q")) if isinstance(along, str) else F.lit(float(along))).alias("q"),
+    )
+    return met.where("across <= p and along <= q").select("a", "b", "across", "along")
+
+
 def knn(df: DataFrame, row: str, axes: Sequence[str], k: int, radius: float) -> DataFrame:
     """``a, rank, b, distance``: the k nearest others of each row, ties to the smaller row.
 

@@ -13,6 +13,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.text import norm_cdf
 from .grouping import MAD_SCALE, valid
 from .sorting import argsort, ranged
 
@@ -164,6 +165,38 @@ def normal_scores(df: DataFrame, name: str, to: str = "score", offset: float = 0
     return midranks(df, name, "__rank").withColumn(to, probit((F.col("__rank") - offset) / (n + 1 - 2 * offset))).drop("__rank")
 
 
+def probit_mean(df: DataFrame, name: str, weight: str | None = None) -> DataFrame:
+    """Mean of probabilities on the probit scale: the normal share below the weighted mean of their quantiles.
+
+    A certain 0 or 1 gives that, both of them or a value outside 0 to 1 a NaN, no value null.
+    """
+    z = population(df, name, weight).select(probit(F.col("x")).alias("z"), "w")
+    row = z.agg((F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("m"))
+    return row.select(norm_cdf(F.col("m")).alias("probit_mean"))
+
+
+def probit_fit(df: DataFrame, name: str, offset: float = 0.375) -> DataFrame:
+    """``loc, sigma, corr``: the least-squares line of the sorted values over the normal scores of their places.
+
+    Equal values take consecutive places, so a value that occurs often is summed over its places: the places of all rows come from one
+    range-partitioned order.
+    """
+    p = population(df, name).select("x", F.monotonically_increasing_id().alias("row"))
+    placed = argsort(p, ["x"], "row", "r")
+    n = placed.count()
+    scored = placed.select("x", probit((F.col("r") - offset) / (n + 1 - 2 * offset)).alias("z"))
+    return scored.agg(F.regr_intercept("x", "z").alias("loc"), F.regr_slope("x", "z").alias("sigma"), F.corr("x", "z").alias("corr"))
+
+
+def probit_scale(df: DataFrame, name: str, prob: float = 0.25) -> DataFrame:
+    """Standard deviation by two quantiles: their distance over that of the normal distribution's."""
+    if not 0 < prob < 0.5:
+        raise ValueError("prob lies between 0 and 0.5")
+    wide = -2 * NormalDist().inv_cdf(prob)
+    held = population(df, name)
+    return held.agg(((F.percentile("x", F.lit(1 - prob)) - F.percentile("x", F.lit(prob))) / wide).alias("sigma"))
+
+
 def bucket(x: Column, edges: Sequence[float], right: bool = False) -> Column:
     """1-based bin of a value, 0 for none; bins are closed below (the last also above), or mirrored if ``right``."""
     if len(edges) < 2 or any(a >= b for a, b in zip(edges, edges[1:], strict=False)):

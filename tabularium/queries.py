@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .functions import cosmology, filters, random, sky
+from .functions import cosmology, filters, random, sky, text
 from .operators import grouping, joins, kde, search, sorting, spatial, stats, table as tables
 from .sources import parquet
 from .streaming import writer
@@ -637,3 +637,84 @@ class _Spread:
 @query("select p_brand, round(sum(abs(p_retailprice - 1000) * p_size) / sum(p_size), 6) as spread from part group by 1")
 def group_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grouping.Grouping(read(spark, sf_dir, "part"), "p_brand", row="p_partkey").reduce("p_retailprice", _Spread(1000.0), "spread", "p_size"), "spread", digits=6)
+
+
+@query("""select customer.c_custkey, translate(c_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, translate(c_name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as high,
+  strlen(c_name) as bytes from customer""")
+def text_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_name")
+    return read(spark, sf_dir, "customer").select("c_custkey", text.to_lower(c).alias("low"), text.to_upper(c).alias("high"), text.byte_length(c).cast("long").alias("bytes"))
+
+
+@query("""select count(*) as n, count(*) filter (where lang is null) as n_null, count(*) filter (where strlen(lang) = 0) as n_empty, cast(coalesce(sum(strlen(lang)), 0) as bigint) as characters,
+  cast(min(strlen(lang)) as integer) as shortest, cast(max(strlen(lang)) as integer) as longest from documents""")
+def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.summary(read(spark, sf_dir, "documents"), "lang")
+
+
+@query("""select url, regexp_replace(regexp_extract(url, '^(.*/)[^/]*$', 1), '/+$', '') as directory, regexp_extract(url, '([^/]*)$', 1) as name,
+  regexp_extract(regexp_extract(url, '([^/]*)$', 1), '[^.](\\.[^.]*)$', 1) as extension from pages""")
+def text_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("url")
+    return read(spark, sf_dir, "pages").select("url", text.dirname(c).alias("directory"), text.basename(c).alias("name"), text.path_ext(c).alias("extension"))
+
+
+@query("""select l_orderkey, l_linenumber, case when l_linenumber = 4 then 'infinity'::double else l_quantity / (l_linenumber - 4) end as ratio, round(exp(-l_discount * l_discount / 2) / sqrt(2 * pi()), 9) as pdf,
+  round(l_quantity - 2 * pi() * floor(l_quantity / (2 * pi())), 9) as angle from lineitem""")
+def safe_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "lineitem")
+    out = df.select("l_orderkey", "l_linenumber", text.safe_div(F.col("l_quantity"), F.col("l_linenumber") - 4).alias("ratio"), text.norm_pdf(F.col("l_discount")).alias("pdf"), text.wrap_rad(F.col("l_quantity")).alias("angle"))
+    return rounded(out, "pdf", "angle", digits=9)
+
+
+@query("select round((quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / 1.3489795003921634, 4) as sigma from lineitem")
+def probit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.probit_scale(read(spark, sf_dir, "lineitem"), "l_extendedprice"), "sigma")
+
+
+@query()
+def probit_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.probit_fit(read(spark, sf_dir, "lineitem"), "l_extendedprice"), "loc", "sigma", "corr")
+
+
+@query()
+def probit_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.probit_mean(read(spark, sf_dir, "lineitem").withColumn("p", F.col("l_quantity") / 51), "p", "l_extendedprice"), "probit_mean", digits=9)
+
+
+SHELL = "(select c_custkey as id, c_acctbal / 1000 as x, (c_custkey % 97) / 10.0::double as y, (c_custkey % 89) / 10.0::double as z, (c_custkey % 5) / 20.0::double as reach, (c_custkey % 13) / 10.0::double as depth from customer)"
+
+
+def shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(k.alias("id"), (F.col("c_acctbal") / 1000).alias("x"), ((k % 97) / 10.0).alias("y"), ((k % 89) / 10.0).alias("z"), ((k % 5) / 20.0).alias("reach"), ((k % 13) / 10.0).alias("depth"))
+
+
+@query(f"""select p.id as a, q.id as b, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), 6) as distance from {SHELL} p, {SHELL} q
+  where p.id < q.id and sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) <= p.reach + q.reach""")
+def linked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.linked_pairs(shell(spark, sf_dir), "id", ["x", "y", "z"], "reach", "sum"), "distance", digits=6)
+
+
+@query(f"""with s as (select *, sqrt(x * x + y * y + z * z) as d from {SHELL}),
+  m as (select p.id as a, q.id as b, sqrt((p.x / p.d - q.x / q.d) ** 2 + (p.y / p.d - q.y / q.d) ** 2 + (p.z / p.d - q.z / q.d) ** 2) * (p.d + q.d) / 2 as across, abs(p.depth - q.depth) as along from s p, s q where p.id < q.id)
+  select a, b, round(across, 6) as across, round(along, 6) as along from m where across <= 0.4 and along <= 0.25""")
+def line_of_sight_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.line_of_sight_pairs(shell(spark, sf_dir), "id", ["x", "y", "z"], 0.4, 0.25, los="depth"), "across", "along", digits=6)
+
+
+@query("select count(*) as n_rows, 1::bigint as first_row, count(*) as last_row from lineitem")
+def row_group_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = parquet.row_group_bounds(spark, f"{sf_dir}/lineitem.parquet")
+    return held.agg(F.sum(F.col("last_row") - F.col("first_row") + 1).alias("n_rows"), F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"))
+
+
+@query("select l_orderkey, l_linenumber, case when l_quantity > 45 then 45 when l_linenumber = 2 then null else l_quantity end as l_quantity from lineitem")
+def cell_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables.set_null(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", (F.col("l_linenumber") == 2) & (F.col("l_quantity") <= 45))
+    return tables.set_where(df, "l_quantity", F.col("l_quantity") > 45, 45)
+
+
+@query("select r_regionkey, r_name from region union all select null, null from range(3)")
+def append_null_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.append_null_rows(read(spark, sf_dir, "region").select("r_regionkey", "r_name"), 3)

@@ -240,14 +240,20 @@ def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.spark().metadata) for f in spec.fields])
 
 
-def write_table(df: DataFrame, path: str, *, spec: TableSpec | None = None, mask: str | Filter | None = None, mode: str = "errorifexists", compression: str = "zstd", row_group_bytes: int | None = None, metadata: Mapping[str, object] | None = None) -> None:
-    """The rows as Parquet; the spec's types are enforced, its quality rules only warn."""
+def write_table(df: DataFrame, path: str, *, spec: TableSpec | None = None, mask: str | Filter | None = None, mode: str = "errorifexists", compression: str = "zstd", row_group_bytes: int | None = None, metadata: Mapping[str, object] | None = None, col_map: Mapping[str, str] | None = None) -> None:
+    """The rows as Parquet; the spec's types are enforced, its quality rules only warn. ``col_map`` gives columns other names in the file."""
     if mask is not None:
         df = filter_rows(df, mask)
     if spec:
         df = conform(df, spec)
         if broken := quality(df, spec):
             log.warning("rows break the rules: %s", broken)
+    if col_map:
+        if missing := [c for c in col_map if c not in df.columns]:
+            raise KeyError(f"missing columns: {', '.join(missing)}")
+        df = df.withColumnsRenamed(dict(col_map))
+        if len(set(df.columns)) < len(df.columns):
+            raise ValueError("two columns would have one name")
     w = df.write.mode(mode).option("compression", compression)
     if row_group_bytes:
         w = w.option("parquet.block.size", row_group_bytes)
@@ -270,6 +276,50 @@ def read_metadata(spark: SparkSession, path: str, key: str | None = None, defaul
     return found if key is None else found.get(key, default)
 
 
+def _footers(spark: SparkSession, path: str):
+    """(file, footer) of each file, in order of names, read one at a time by the file system that Spark reads the table by."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in sorted(spark.read.parquet(path).inputFiles()):
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(place, conf))
+        try:
+            yield name, reader.getFooter()
+        finally:
+            reader.close()
+
+
+def row_group_bounds(spark: SparkSession, path: str) -> DataFrame:
+    """``file, row_group, first_row, last_row, bytes``: a file's row groups from 1, rows by their physical number in the file.
+
+    Only footers are read. An empty row group has a last row before its first.
+    """
+    rows = []
+    for name, footer in _footers(spark, path):
+        first = 1
+        for i, block in enumerate(footer.getBlocks()):
+            n = block.getRowCount()
+            rows.append((name, i + 1, first, first + n - 1, block.getTotalByteSize()))
+            first += n
+    return spark.createDataFrame(rows, "file string, row_group int, first_row long, last_row long, bytes long")
+
+
+def read_row_group(spark: SparkSession, path: str, row_group: int, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of one row group of a table of a single file, with the physical row numbers as ``row``."""
+    bounds = row_group_bounds(spark, path).where(F.col("row_group") == row_group).collect()
+    if len(bounds) != 1:
+        raise ValueError(f"the table has {len(bounds)} row groups of number {row_group}")
+    return read_table(spark, path, columns=columns, rows=(bounds[0]["first_row"], bounds[0]["last_row"]), row_index="row")
+
+
+def footer_metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    """The key-value pairs of the files' footers, those of writers other than this library's too; of two values of a key the first file's stays."""
+    found: dict[str, str] = {}
+    for _, footer in _footers(spark, path):
+        for key, value in dict(footer.getFileMetaData().getKeyValueMetaData()).items():
+            found.setdefault(key, value)
+    return found
+
+
 def columns_of(df: DataFrame) -> list[tuple[str, str, int | None, str | None]]:
     """(name, type, width, unit) of every column."""
     return [(f.name, f.dataType.simpleString(), f.metadata.get("width"), f.metadata.get("unit")) for f in df.schema]

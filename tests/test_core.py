@@ -15,7 +15,7 @@ from tabularium.sources import parquet
 from tabularium.streaming.writer import TableWriter
 
 NAN, INF = float("nan"), float("inf")
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings documents pages".split()
 
 
 @pytest.fixture(scope="module")
