@@ -14,6 +14,8 @@ from ..operators.spatial import cross_pairs
 
 # J2000 position of the north Galactic pole and the longitude of the celestial pole; mean obliquity (degrees).
 POLE_RA, POLE_DEC, POLE_L, OBLIQUITY = 192.85948, 27.12825, 122.93192, 23.4392911
+# The supergalactic north pole in galactic coordinates, and the longitude there of the galactic one.
+SUPERGALACTIC = (47.37, 6.32, 90.0)
 SPEED_OF_LIGHT = 299792.458
 
 
@@ -49,12 +51,22 @@ def position_angle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Co
     return wrap360(F.degrees(F.atan2(F.sin(d) * F.cos(q), F.cos(p) * F.sin(q) - F.sin(p) * F.cos(q) * F.cos(d))))
 
 
-def galactic_matrix() -> list[list[float]]:
-    a, d, t = map(math.radians, (POLE_RA, POLE_DEC, POLE_L))
+def pole_matrix(lon: float, lat: float, own: float) -> list[list[float]]:
+    """The rotation into the system whose north pole is at (lon, lat), and in which this system's north pole has the longitude ``own``; in degrees."""
+    a, d, t = map(math.radians, (lon, lat, own))
     rot = lambda axis, x: np.array({"z": [[math.cos(x), math.sin(x), 0], [-math.sin(x), math.cos(x), 0], [0, 0, 1]], "y": [[math.cos(x), 0, -math.sin(x)], [0, 1, 0], [math.sin(x), 0, math.cos(x)]]}[axis])
     return (rot("z", math.pi - t) @ rot("y", math.pi / 2 - d) @ rot("z", a)).tolist()
 
 
+def galactic_matrix() -> list[list[float]]:
+    return pole_matrix(POLE_RA, POLE_DEC, POLE_L)
+
+
+def supergalactic_matrix() -> list[list[float]]:
+    """From galactic coordinates."""
+    return pole_matrix(*SUPERGALACTIC)
+
+
 def ecliptic_matrix() -> list[list[float]]:
     e = math.radians(OBLIQUITY)
     return [[1, 0, 0], [0, math.cos(e), math.sin(e)], [0, -math.sin(e), math.cos(e)]]
@@ -74,6 +86,19 @@ def from_galactic(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rotate(lon, lat, galactic_matrix(), inverse=True)
 
 
+def galactic_to_supergalactic(lon: Column, lat: Column) -> tuple[Column, Column]:
+    return rotate(lon, lat, supergalactic_matrix())
+
+
+def supergalactic_to_galactic(lon: Column, lat: Column) -> tuple[Column, Column]:
+    return rotate(lon, lat, supergalactic_matrix(), inverse=True)
+
+
+def to_supergalactic(ra: Column, dec: Column) -> tuple[Column, Column]:
+    """Both rotations as one."""
+    return rotate(ra, dec, (np.array(supergalactic_matrix()) @ np.array(galactic_matrix())).tolist())
+
+
 def to_ecliptic(ra: Column, dec: Column) -> tuple[Column, Column]:
     return rotate(ra, dec, ecliptic_matrix())
 

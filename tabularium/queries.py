@@ -718,3 +718,13 @@ def cell_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select r_regionkey, r_name from region union all select null, null from range(3)")
 def append_null_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.append_null_rows(read(spark, sf_dir, "region").select("r_regionkey", "r_name"), 3)
+
+
+@query("""with p as (select event_id, (event_id % 50) / 10.0::double as z from events), e as (select *, sqrt(0.3 * (1 + z) ** 3 + 0.7) as e from p)
+  select event_id, round(70 * e, 6) as hubble, round(0.3 * (1 + z) ** 3 / (e * e), 8) as om, round(1 / (1 + z), 8) as scale_factor,
+    round(2 / (3 * sqrt(0.7)) * asinh(sqrt(0.7 / 0.3) * (1 + z) ** -1.5) * 3.0856775814913673e19 / 70 / 3.15576e16, 6) as age from e""")
+def cosmic_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = cosmology.Cosmology(70, 0.3)
+    df = read(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 50) / 10.0).alias("z"))
+    out = model.with_columns(df, "z", ["hubble", "om", "scale_factor", "age"]).drop("z")
+    return rounded(rounded(out, "hubble", "age", digits=6), "om", "scale_factor", digits=8)

@@ -3,12 +3,14 @@ import posixpath
 import random
 from statistics import NormalDist, mean
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tabularium.functions import text
+from tabularium.functions import sky as sky_functions, text
+from tabularium.functions.cosmology import Cosmology
 from tabularium.operators import spatial, stats
 from tabularium.sources import parquet
 
@@ -132,3 +134,35 @@ def test_names_on_write(spark, tmp_path):
         parquet.write_table(df, str(tmp_path / "u"), col_map={"q": "z"})
     with pytest.raises(ValueError):
         parquet.write_table(df, str(tmp_path / "u"), col_map={"id": "b"})
+
+
+def test_cosmology_quantities():
+    z = np.array([0.0, 0.3, 1.0, 3.0])
+    flat, open_, closed = Cosmology(70, 0.3), Cosmology(70, 0.3, 0.0, 0.2), Cosmology(70, 0.4, 0.0, 0.8)
+    for c in (flat, open_, closed):
+        assert c.om(z) + c.ode(z) + c.ok(z) == pytest.approx(np.ones(4))
+        assert c.age(z) + c.lookback(z) == pytest.approx(np.full(4, c.age(np.zeros(1))[0]), rel=1e-9)
+        assert c.z_at_age(c.age(z)) == pytest.approx(z, abs=1e-9)
+        step = 1e-4
+        assert (c.volume(z[1:] + step) - c.volume(z[1:] - step)) / (2 * step) / (4 * math.pi) == pytest.approx(c.differential_volume(z[1:]), rel=1e-6)
+        assert -(np.log(c.growth_factor(z + step)) - np.log(c.growth_factor(np.maximum(z - step, -step)))) / (2 * step) * (1 + z) == pytest.approx(c.growth_rate(z), rel=1e-5)
+        assert c.comoving_between(z[1:], z[:1]) == pytest.approx(-c.comoving(z[1:]))
+    empty = Cosmology(70, 1.0)
+    assert empty.growth_factor(z) == pytest.approx(1 / (1 + z)) and empty.growth_rate(z) == pytest.approx(np.ones(4))
+    # matter alone: INT (1 + z)^(1/2) dz, and an age of 2 / (3 H)
+    assert empty.absorption_distance(z) == pytest.approx(((1 + z) ** 1.5 - 1) / 1.5)
+    assert flat.critical_density(np.zeros(1))[0] == pytest.approx(2.77536627e11 * 0.49, rel=1e-4)
+    assert Cosmology(70, 0.3, 0.0, 0.7 - 1.1e-4).volume(z) == pytest.approx(Cosmology(70, 0.3, 0.0, 0.7 - 0.9e-4).volume(z), rel=1e-4)
+    with pytest.raises(ValueError):
+        Cosmology(70, 0.3, 1e-4).growth_factor(z)
+
+
+def test_supergalactic(spark):
+    x, y = F.col("x"), F.col("y")
+    df = spark.createDataFrame([(137.37, 0.0), (47.37, 6.32), (10.0, -70.0)], "x double, y double")
+    got = df.select("x", "y", *sky_functions.galactic_to_supergalactic(x, y)).toDF("x", "y", "l", "b").select("*", *sky_functions.supergalactic_to_galactic(F.col("l"), F.col("b"))).collect()
+    assert abs(math.sin(math.radians(got[0][2]))) < 1e-9 and got[0][2] % 360 == pytest.approx(0, abs=1e-6) or got[0][2] == pytest.approx(360, abs=1e-6)
+    assert got[0][3] == pytest.approx(0, abs=1e-9) and got[1][3] == pytest.approx(90, abs=1e-5)
+    assert got[2][4:] == pytest.approx((10.0, -70.0))
+    one = df.select(*sky_functions.from_galactic(x, y)).toDF("r", "d").select(*sky_functions.to_supergalactic(F.col("r"), F.col("d"))).collect()
+    assert tuple(one[2]) == pytest.approx((got[2][2], got[2][3]))
