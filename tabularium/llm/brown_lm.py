@@ -32,7 +32,7 @@ from .common import LOWER, as_bytes, blocks, fold
 MERGED, CLASSES, ENDINGS, KNOWN, SWEEPS = 800, 40, 40, 50_000, 4
 ALPHA = 0.1
 #: Words counted in a task before they are passed on.
-HELD = 400_000
+HELD = 100_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
