@@ -547,6 +547,15 @@ def kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kde.density(read(spark, sf_dir, "lineitem"), "l_quantity", [5.0, 15.0, 25.0, 35.0, 45.0], 2.0, "epanechnikov"), "density", digits=8)
 
 
+@query("""select g.at as at, round((select sum(case when abs(u) <= sqrt(5) then 3 / (4 * sqrt(5)) * (1 - u * u / 5) else 0 end)
+    from (select unnest([g.at - l_quantity, g.at - (2 * 4.0 - l_quantity), g.at - (2 * 40.0 - l_quantity)]) / 3 as u from lineitem where l_quantity between 4 and 40))
+    / (3 * (select count(*) from lineitem where l_quantity between 4 and 40)), 8) as density
+  from (select cast(unnest([4, 6, 15, 38, 40]) as double) as at) g union all select 41.0, 0.0""")
+def density_reflected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kde.density(read(spark, sf_dir, "lineitem"), "l_quantity", [4.0, 6.0, 15.0, 38.0, 40.0, 41.0], 3.0, "epanechnikov", lower=4.0, upper=40.0)
+    return rounded(found, "density", digits=8)
+
+
 @query()
 def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "lineitem")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions import sky as sky_functions, text
 from tabularium.functions.cosmology import Cosmology
-from tabularium.operators import spatial, stats
+from tabularium.operators import kde, spatial, stats
 from tabularium.sources import parquet
 
 PATHS = ["", "/", "//", "a", "a/", "/a", "a/b.c", "a//b.tar.gz", "/a.b/c", ".hidden", "..", "...", ".a.b", "x/.a", "x/..b.c", "a.", "a.b.", "//a/b//", "é/ü.ö", "a b/c d.e f", None]
@@ -166,3 +166,41 @@ def test_supergalactic(spark):
     assert got[2][4:] == pytest.approx((10.0, -70.0))
     one = df.select(*sky_functions.from_galactic(x, y)).toDF("r", "d").select(*sky_functions.to_supergalactic(F.col("r"), F.col("d"))).collect()
     assert tuple(one[2]) == pytest.approx((got[2][2], got[2][3]))
+
+
+def test_sheather_jones_bandwidth(spark):
+    rng = np.random.default_rng(8)
+
+    def frame(values):
+        return spark.createDataFrame([(float(v),) for v in values], "x double")
+
+    one = frame(rng.normal(5, 2, 4000))
+    assert kde.bandwidth(one, "x", "isj") == pytest.approx(1.06 * 2 * 4000**-0.2, rel=0.15)
+    assert kde.bandwidth(one, "x", "isj", adjust=0.5) == pytest.approx(kde.bandwidth(one, "x", "isj") / 2)
+    two = frame(np.r_[rng.normal(0, 0.1, 2000), rng.normal(50, 0.1, 2000)])
+    assert kde.bandwidth(two, "x", "isj") < kde.bandwidth(two, "x", "silverman") / 10
+    # whole numbers leave nothing finer than their step; without a rule Silverman's takes over
+    steps = frame(rng.integers(0, 3, 900))
+    with pytest.raises(ValueError):
+        kde.bandwidth(steps, "x", "isj")
+    assert kde.bandwidth(steps, "x", None) == kde.bandwidth(steps, "x", "silverman")
+    for values in ([], [3.0], [3.0, 3.0]):
+        with pytest.raises(ValueError):
+            kde.bandwidth(frame(values), "x", "isj")
+
+
+def test_reflected_density_has_unit_mass(spark):
+    rng = np.random.default_rng(9)
+    x = rng.exponential(1, 500)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),), (-4.0,), (90.0,)], "x double")
+    at = np.linspace(0, 4, 161)
+    kept = x[x <= 4]
+    for shape in kde.REACH:
+        got = np.array([r["density"] for r in kde.density(df, "x", at, 0.3, shape, lower=0, upper=4).collect()])
+        want = sum(kde.kernel(shape, (at[:, None] - image[None]) / 0.3).sum(axis=1) for image in (kept, -kept, 8 - kept)) / (0.3 * len(kept))
+        assert np.allclose(got, want, atol=1e-9)
+        assert np.trapezoid(got, at) == pytest.approx(1, abs=0.02)
+    assert [r["density"] for r in kde.density(df, "x", [-1.0, 5.0], 0.3, lower=0, upper=4).collect()] == [0, 0]
+    for lower, upper in ((0, 0.1), (2, 1), (float("nan"), None)):
+        with pytest.raises(ValueError):
+            kde.density(df, "x", [0.0], 0.3, lower=lower, upper=upper)
