@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import blocks
+from .common import blocks, tidy
 
 Q = 12
 #: Characters of a window, steps between windows, characters for each edit of the budget, and the shortest item.
@@ -270,7 +270,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     columns = zip(*rows, strict=True) if rows else [()] * 6
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        found = chosen.mapInArrow(run, SCHEMA)
+        found = chosen.mapInArrow(tidy(run), SCHEMA)
         if several:
             found = cut(found)
         out = found if out is None else out.union(found)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, fold
+from .common import blocks, fold, tidy
 
 #: Characters of training text for each language, and the most documents read for it.
 SAMPLE_CHARS, SAMPLE_DOCS = 24_000, 48
@@ -28,6 +28,8 @@ SAMPLE_CHARS, SAMPLE_DOCS = 24_000, 48
 DENSE = 60
 #: Texts are parsed in pieces of this many characters, all pieces of a block in step, until each begins as the one before it ends.
 PIECE = 256
+#: Bytes of text in a block, for which a worker holds some 50 times as much.
+TEXT_BYTES = 1 << 19
 #: Codes: of letters outside the alphabet, of whatever is no letter, of padding, between sampled documents.
 UNKNOWN, SPACE, PAD, BREAK = 0, 1, 2, 3
 #: What stands between sampled stretches, and the factor of the state in a searched move's key.
@@ -163,9 +165,11 @@ class Model:
     @staticmethod
     def of(texts: dict[str, str]) -> Model:
         key = hashlib.sha256(repr(sorted(texts.items())).encode()).hexdigest()
-        if key not in _cache:
-            _cache[key] = Model(texts)
-        return _cache[key]
+        # a reused worker keeps the last model only
+        if _cache.get("key") != key:
+            _cache.pop("model", None)
+            _cache["model"], _cache["key"] = Model(texts), key
+        return _cache["model"]
 
     def parse(self, language: int, steps: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases begun in each column of codes, from the given states on, and the states at the end."""
@@ -252,7 +256,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(texts) if texts else None
         for whole in batches:
-            for batch in blocks(whole):
+            for batch in blocks(whole, size=TEXT_BYTES):
                 if model is None:
                     n = batch.num_rows
                     langs, score, rate = ["und"] * n, np.zeros(n), np.ones(n)
@@ -263,7 +267,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
                     ["doc_id", "lang_pred", "score", "phrase_rate"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, phrase_rate double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, phrase_rate double")
 
 
 def keep_identified(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
@@ -280,9 +284,9 @@ def keep_identified(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(texts)
         for whole in batches:
-            for batch in blocks(pa.RecordBatch.from_arrays(whole.columns, [f"c{i}" for i in range(len(names))]), f"c{at}"):
+            for batch in blocks(pa.RecordBatch.from_arrays(whole.columns, [f"c{i}" for i in range(len(names))]), f"c{at}", TEXT_BYTES):
                 langs, _, rate = decide(model, batch.column(at).to_pylist())
                 good = pa.array([x != "und" and r <= REJECT_RATE for x, r in zip(langs, rate.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(batch.filter(good).columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

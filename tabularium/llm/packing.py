@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut, shuffle_partitions
-from .common import blocks
+from .common import blocks, tidy
 
 LENGTH = 1024
 #: Relative gap between the linear program's value and its bound at which column generation stops.
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: boo
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -286,4 +286,4 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: bool
             )
 
     schema = ", ".join(f"{n} {t}" for n, t in cut_up.dtypes) + ", sequence_id long, offset long"
-    return whole.union(ranked.select(*names, "rank").mapInArrow(deal, schema))
+    return whole.union(ranked.select(*names, "rank").mapInArrow(tidy(deal), schema))

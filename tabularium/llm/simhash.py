@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut
-from .common import LOWER, as_bytes, blocks
+from .common import LOWER, as_bytes, blocks, tidy
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Children of a tree node, and most (query, node) pairs held at once.
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fps = np.array([fingerprint(t) for t in as_bytes(batch.column("text"))], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -178,7 +178,7 @@ def link(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = links_of(shared, radius)
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -90,6 +93,31 @@ def test_sample_is_of_the_training_folds(spark):
     assert "held" not in L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["en"]
 
 
+def test_a_worker_keeps_one_model_and_gives_memory_back():
+    """Models of earlier samples go, and so does what a task has freed, though something lives above it on the heap."""
+    for texts in ({"a": "abra cadabra"}, {"b": "lorem ipsum"}):
+        L.Model.of(texts)
+    assert [x.langs for x in L._cache.values() if isinstance(x, L.Model)] == [["b"]]
+    code = """
+import psutil
+from tabularium.llm.common import tidy
+rss = lambda: psutil.Process().memory_info().rss >> 20
+def run(batches):
+    held = [bytearray(100_000) for _ in range(2000)]
+    kept.append(bytearray(100_000))
+    del held
+    yield from batches
+kept = []
+for f in (run, tidy(run)):
+    before = rss()
+    list(f(iter([])))
+    print(rss() - before)
+"""
+    left = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    as_was, tidied = map(int, left.stdout.split())
+    assert tidied < 50 and tidied < max(as_was, 50), left.stdout
+
+
 # -- quality ------------------------------------------------------------------------------------------------------------
 
 
