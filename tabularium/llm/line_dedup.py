@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import connected_components
-from ..session import cut
+from ..session import cut, release
 
 SHINGLE, GROUPS, BUCKETS, ROWS, THRESHOLD = 8, 4, 6, 3, 0.8
 #: Signatures by which a crowded band is dealt anew.
@@ -135,12 +135,12 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one, two = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     x, y = F.col("x"), F.col("y")
     wide = _wide(x) | _wide(y)
-    # a lambda over the pair of sets, so that each is made once
-    like = F.transform(
-        F.array(F.struct(_shingles(x, wide).alias("s"), _shingles(y, wide).alias("t"))),
-        lambda p: F.size(F.array_intersect(p["s"], p["t"])) >= F.lit(THRESHOLD) * F.size(F.array_union(p["s"], p["t"])) - F.lit(1e-9),
-    )[0]
-    return pairs.join(one, "a").join(two, "b").where(like).select("a", "b")
+    # generated, so that a pair's sets and their union are made once and compared in compiled code
+    made = pairs.join(one, "a").join(two, "b").select("a", "b", F.explode(F.array(F.struct(_shingles(x, wide).alias("s"), _shingles(y, wide).alias("t")))).alias("p"))
+    sized = made.select("a", "b", "p", F.explode(F.array(F.size(F.array_union("p.s", "p.t")))).alias("all"))
+    # sizes with repeats allow no fewer shared shingles than there are, so most pairs below the threshold need no intersection
+    may = F.size("p.s") + F.size("p.t") >= F.lit(1 + THRESHOLD) * F.col("all") - F.lit(1e-6)
+    return sized.where(may & (F.size(F.array_intersect("p.s", "p.t")) >= F.lit(THRESHOLD) * F.col("all") - F.lit(1e-9))).select("a", "b")
 
 
 def marks(texts: DataFrame) -> DataFrame:
@@ -205,6 +205,7 @@ def _rest(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def line_components(lines: DataFrame) -> DataFrame:
     """``node, component``: of the ids of the lines that are linked to another line."""
     keyed = cut(bands(signatures(lines, GROUPS), ROWS)).select("id", F.explode(F.array(*[f"k{b}" for b in range(BUCKETS // ROWS)])).alias("key"))
+    release(lines.sparkSession)  # signatures are most of what is shuffled
     shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"))
     # a band of two is a pair already; only the lines of larger bands are looked up
     rows = cut(keyed.join(_small(shared.where("n > 2").select("key", "n")), "key").select("key", "id", "n"))
@@ -216,7 +217,9 @@ def line_components(lines: DataFrame) -> DataFrame:
     named = maybe_in(lines.select(F.xxhash64("line").alias("id"), "line"), "id", ids)
     texts = cut(named.groupBy("id", "line").agg(F.lit(1)).join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "line"))
     nodes = cut(connected_components(cut(similar(pairs, texts)), "a", "b"))
+    release(lines.sparkSession)
     more = cut(similar(_rest(rows, nodes, texts), texts))
+    release(lines.sparkSession)
     if more.isEmpty():
         return nodes
     # the later links join components of the earlier ones

@@ -149,3 +149,14 @@ def test_crowded_bands_and_large_tables(spark, monkeypatch):
     got, want = answers(spark, docs), brute(docs)
     assert got.keys() == want.keys()
     assert sum(got[p] != want[p] for p in want) <= 1
+
+
+def test_pairs_at_the_threshold_and_repeats(spark):
+    """Pairs are compared by distinct shingles, those just at and just below the threshold too."""
+    texts = ["".join(chr(0x4E00 + i) for i in range(a, a + 16)) for a in (0, 1, 2)] + ["ab" * 50, "ab" * 9, "\U0001f600" + "".join(chr(0x4E00 + i) for i in range(16)), "x", "x" * 8, "x" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    got = {(r["a"], r["b"]) for r in L.similar(spark.createDataFrame(pairs, "a long, b long"), df).collect()}
+    sets = [shingles(x) for x in texts]
+    assert got == {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= L.THRESHOLD * len(sets[i] | sets[j])}
+    assert (0, 1) in got and (0, 2) not in got and (3, 4) in got
