@@ -86,13 +86,17 @@ def _ids() -> list[Column]:
     return [F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit("line")).alias("check")]
 
 
+def _starts(encoded: Column, size: int) -> Column:
+    """Where the shingles of a line begin, in bytes from 1, if a character takes ``size`` of them; a short line has one."""
+    return F.sequence(F.lit(1), F.greatest(F.length(encoded) - size * SHINGLE, F.lit(0)) + 1, F.lit(size))
+
+
 def signatures(lines: DataFrame, groups: int, salt: int = 0) -> DataFrame:
     """``id, g, m0, m1, ...``: the least hash of each bucket of each group, for every distinct line; null where there is none."""
-    last = F.greatest(F.length("b") / 4 - SHINGLE, F.lit(0)).cast("int")
     hashed = (
         lines.select(F.xxhash64("line").alias("id"), F.encode("line", "UTF-32").alias("b"))
-        .select("id", "b", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-        .select("id", F.xxhash64(F.substring("b", F.col("i") * 4 + 1, F.lit(4 * SHINGLE)), *[F.lit(salt)] * (salt > 0)).alias("h"))
+        .select("id", "b", F.explode(_starts(F.col("b"), 4)).alias("i"))
+        .select("id", F.xxhash64(F.substring("b", F.col("i"), F.lit(4 * SHINGLE)), *[F.lit(salt)] * (salt > 0)).alias("h"))
         .select(
             "id",
             F.pmod(F.shiftrightunsigned("h", 52).cast("int"), F.lit(groups)).alias("g"),
@@ -117,10 +121,8 @@ def _shingles(line: Column, wide: Column) -> Column:
     def each(encoding: str, size: int) -> Column:
         return F.transform(
             F.array(F.encode(line, encoding)),
-            lambda b: F.transform(
-                F.sequence(F.lit(0), F.greatest(F.length(b) / size - SHINGLE, F.lit(0)).cast("int")),
-                lambda i: F.xxhash64(F.substring(b, i * size + 1, F.lit(size * SHINGLE))),
-            ),
+            # steps of a character, as an expression for each shingle isn't compiled
+            lambda b: F.transform(_starts(b, size), lambda i: F.xxhash64(F.substring(b, i, F.lit(size * SHINGLE)))),
         )[0]
 
     return F.when(wide, each("UTF-32", 4)).otherwise(each("UTF-16BE", 2))
@@ -209,14 +211,21 @@ def line_components(lines: DataFrame) -> DataFrame:
     shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"))
     # a band of two is a pair already; only the lines of larger bands are looked up
     rows = cut(keyed.join(_small(shared.where("n > 2").select("key", "n")), "key").select("key", "id", "n"))
+    del keyed
+    release(lines.sparkSession)
     # a line with many copies meets most of them in each of its bands, a copy only some
     hubs = rows.join(rows.groupBy("id").agg(F.sum("n").alias("met")), "id").groupBy("key").agg(F.max_by("id", F.struct("met", "id")).alias("hub"))
     led = rows.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     pairs = cut(led.union(shared.where("n = 2").select("a", "b")).distinct())
+    del shared, hubs, led
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     named = maybe_in(lines.select(F.xxhash64("line").alias("id"), "line"), "id", ids)
     texts = cut(named.groupBy("id", "line").agg(F.lit(1)).join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "line"))
-    nodes = cut(connected_components(cut(similar(pairs, texts)), "a", "b"))
+    release(lines.sparkSession)
+    links = cut(similar(pairs, texts))
+    del pairs, ids, named
+    release(lines.sparkSession)
+    nodes = cut(connected_components(links, "a", "b"))
     release(lines.sparkSession)
     more = cut(similar(_rest(rows, nodes, texts), texts))
     release(lines.sparkSession)
@@ -243,18 +252,21 @@ def classes(docs: DataFrame) -> DataFrame:
     # least check of an id: a different line with the same id is left alone
     ids = cut(placed.groupBy("id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"), F.min("check").alias("mine")).join(nodes.withColumnRenamed("node", "id"), "id", "left").where("c > 1 or component is not null"))
     firsts = ids.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    known = ids.join(firsts, "component", "left").select("id", "mine", F.coalesce("least", "first").alias("first"))
-    found = placed.join(known, "id", "left")
-    first = F.when(F.col("check") == F.col("mine"), F.col("first")).otherwise(F.col("at"))
+    first = F.coalesce("least", "first")
     doc = F.floor(first / shift)
+    known = ids.join(firsts, "component", "left").select("id", "mine", doc.cast("long").alias("first_doc"), (first - doc * shift).cast("int").alias("first_n"))
+    found = placed.drop("at").join(known, "id", "left")
+    same = F.coalesce(F.col("check") == F.col("mine"), F.lit(False))
+    own = F.coalesce("doc_id", F.lit(int(_LONE)))
+    class_doc, class_n = F.when(same, F.col("first_doc")).otherwise(own), F.when(same, F.col("first_n")).otherwise(F.col("n"))
     return found.select(
         "doc_id",
         "k1",
         "k2",
         F.col("n").alias("line_no"),
-        F.when(doc != int(_LONE), doc.cast("long")).alias("class_doc"),
-        (first - doc * shift).cast("int").alias("class_line"),
-        (first == F.col("at")).alias("kept"),
+        F.nullif(class_doc, F.lit(int(_LONE))).alias("class_doc"),
+        class_n.alias("class_line"),
+        ((class_doc == own) & (class_n == F.col("n"))).alias("kept"),
     )
 
 

@@ -1,4 +1,5 @@
 import random
+import sys
 
 from tabularium.llm import line_dedup as L
 
@@ -160,3 +161,30 @@ def test_pairs_at_the_threshold_and_repeats(spark):
     sets = [shingles(x) for x in texts]
     assert got == {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= L.THRESHOLD * len(sets[i] | sets[j])}
     assert (0, 1) in got and (0, 2) not in got and (3, 4) in got
+
+
+def test_files_of_done_steps_are_released(spark, monkeypatch):
+    """When pairs are compared, nothing holds the bands' tables any more, and Spark has been told to look: their files are most of the disk."""
+    release, similar, steps = L.release, L.similar, []
+
+    def released(session):
+        steps.append(set(sys._getframe(1).f_locals))
+        release(session)
+
+    def compared(pairs, texts):
+        steps.append("compared")
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(L, "release", released)
+    monkeypatch.setattr(L, "similar", compared)
+    x = line(20)
+    answers(spark, [(i, near(x, 1)) for i in range(4)])
+    held = steps[steps.index("compared") - 1]
+    assert {"pairs", "texts"} <= held and not {"keyed", "shared"} & held, held
+
+
+def test_places_at_the_ends_of_long(spark):
+    """Ids at the ends of the range keep their place, ids of repeated lines too."""
+    low, high = -(1 << 63) + 1, (1 << 63) - 1
+    got = answers(spark, [(high, "one line here\nother line there"), (low, "x\none line here"), (0, "other line there\nother line there")])
+    assert got == {(high, 0): (low, 1), (high, 1): (0, 0), (low, 0): (low, 0), (low, 1): (low, 1), (0, 0): (0, 0), (0, 1): (0, 0)}
