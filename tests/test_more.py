@@ -204,3 +204,10 @@ def test_reflected_density_has_unit_mass(spark):
     for lower, upper in ((0, 0.1), (2, 1), (float("nan"), None)):
         with pytest.raises(ValueError):
             kde.density(df, "x", [0.0], 0.3, lower=lower, upper=upper)
+
+
+def test_line_of_sight_copies_are_not_broadcast(spark):
+    rows = sky(100, 7)
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, p double, l double")
+    plan = spatial.line_of_sight_pairs(df, "id", ["x", "y", "z"], 0.4, 0.25, los="l")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
