@@ -65,27 +65,52 @@ def _cells(axes: Sequence[str], width: float, box: Sequence[float] | None) -> tu
     return cells, counts
 
 
+def _finite(axes: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(a).isNotNull() & (F.abs(F.col(a)) < F.lit(float("inf"))) for a in axes])
+
+
+def _met(left: DataFrame, right: DataFrame, left_id: str, right_id: str, axes: Sequence[str], radius: float, box: Sequence[float] | None, once: bool = False, keep: str | None = None) -> DataFrame:
+    """``a, b, distance`` of the rows within the radius, with both rows' ``keep`` as ``x, y``.
+
+    With ``once``, of one table without a box, only half of the cells around are met and a pair comes once, whichever row is a. Rows are dealt
+    by their id before they are copied, so that a small file isn't one task; the join is no broadcast, because no estimate knows of the copies.
+    """
+    cells, counts = _cells(axes, radius, box)
+    keys = [f"c{i}" for i in range(len(axes))]
+    wide = [not counts or counts[i] >= 3 for i in range(len(axes))]
+    around = list(itertools.product(*[(-1, 0, 1) if w else range(counts[i]) for i, w in enumerate(wide)]))
+    if once:
+        around = [s for s in around if s >= (0,) * len(axes)]
+    kept = lambda to: [F.col(keep).alias(to)] if keep else []
+    side = lambda df, name, to, own, at: df.where(_finite(axes)).select(F.col(name).alias(to), *[F.col(x).alias(f"__{at}{i}") for i, x in enumerate(axes)], *kept(own), *[c.alias(k) for k, c in zip(keys, cells, strict=True)])
+    a = side(left, left_id, "a", "x", "l").repartition("a").withColumn("__step", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in around])))
+    moved = [F.col(k) + F.col("__step")[i] for i, k in enumerate(keys)]
+    if counts:
+        moved = [F.pmod(m, F.lit(counts[i])) if wide[i] else F.col("__step")[i].cast("long") for i, m in enumerate(moved)]
+    a = a.withColumns(dict(zip(keys, moved, strict=True))).withColumn("__own", F.forall("__step", lambda s: s == 0)).drop("__step")
+    met = a.join(side(right, right_id, "b", "y", "r").hint("merge"), keys)
+    if once:
+        met = met.where(~F.col("__own") | (F.col("a") < F.col("b")))
+    d = distance([F.col(f"__l{i}") for i in range(len(axes))], [F.col(f"__r{i}") for i in range(len(axes))], box)
+    return met.withColumn("distance", d).where(F.col("distance") <= radius).select("a", "b", "distance", *(["x", "y"] if keep else []))
+
+
 def cross_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, axes: Sequence[str], radius: float, box: Sequence[float] | None = None) -> DataFrame:
     """``a, b, distance`` of all left and right rows within the radius.
 
     Only the left side is copied to its neighbouring cells; both meet by an equality of cells, which is split if a cell is crowded.
     """
-    cells, counts = _cells(axes, radius, box)
-    around = []
-    for i in range(len(axes)):
-        steps = range(-1, 2) if not counts or counts[i] >= 3 else range(counts[i])
-        around.append([(cells[i] + s if not counts else F.pmod(cells[i] + s, F.lit(counts[i]))) if not counts or counts[i] >= 3 else F.lit(s).cast("long") for s in steps])
-    keys = F.array(*[F.struct(*[c.alias(f"c{i}") for i, c in enumerate(combo)]) for combo in itertools.product(*around)])
-    a = left.select(F.col(left_id).alias("a"), *[F.col(x).alias(f"__l{i}") for i, x in enumerate(axes)], F.explode(keys).alias("__cell"))
-    b = right.select(F.col(right_id).alias("b"), *[F.col(x).alias(f"__r{i}") for i, x in enumerate(axes)], F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).alias("__cell"))
-    d = distance([F.col(f"__l{i}") for i in range(len(axes))], [F.col(f"__r{i}") for i in range(len(axes))], box)
-    return a.join(b, "__cell").withColumn("distance", d).where(F.col("distance") <= radius).select("a", "b", "distance")
+    return _met(left, right, left_id, right_id, axes, radius, box)
 
 
-def pairs(df: DataFrame, row: str, axes: Sequence[str], radius: float, box: Sequence[float] | None = None, directed: bool = False) -> DataFrame:
-    """All pairs within the radius: once with a < b, or both ways."""
-    found = cross_pairs(df, df, row, row, axes, radius, box)
-    return found.where("a != b") if directed else found.where("a < b")
+def pairs(df: DataFrame, row: str, axes: Sequence[str], radius: float, box: Sequence[float] | None = None, directed: bool = False, keep: str | None = None) -> DataFrame:
+    """All pairs within the radius: once with a < b, or both ways; with each row's ``keep`` as ``x, y`` if one is named."""
+    if directed or box:
+        found = _met(df, df, row, row, axes, radius, box, keep=keep)
+        return found.where("a != b") if directed else found.where("a < b")
+    found = _met(df, df, row, row, axes, radius, box, once=True, keep=keep).where("a != b")
+    own = [F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q)).alias(p) for p, q in ("xy", "yx")] if keep else []
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", *own)
 
 
 #: How the linking lengths of two rows make the pair's, and the most that this is, as a factor of the greatest length.
@@ -111,10 +136,8 @@ def linked_pairs(df: DataFrame, row: str, axes: Sequence[str], length: str, comb
     (most,) = _longest(held, [length], combine)
     if most <= 0:
         most = 1e-300
-    near = pairs(held, row, axes, most, box)
-    one, two = held.select(F.col(row).alias("a"), F.col(length).alias("__x")), held.select(F.col(row).alias("b"), F.col(length).alias("__y"))
-    fits = F.col("distance") <= COMBINE[combine][0](F.col("__x"), F.col("__y"))
-    return near.join(one, "a").join(two, "b").where(fits).select("a", "b", "distance")
+    fits = F.col("distance") <= COMBINE[combine][0](F.col("x"), F.col("y"))
+    return pairs(held, row, axes, most, box, keep=length).where(fits).select("a", "b", "distance")
 
 
 def line_of_sight_pairs(

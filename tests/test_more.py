@@ -211,3 +211,24 @@ def test_line_of_sight_copies_are_not_broadcast(spark):
     df = spark.createDataFrame(rows, "id long, x double, y double, z double, p double, l double")
     plan = spatial.line_of_sight_pairs(df, "id", ["x", "y", "z"], 0.4, 0.25, los="l")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+
+
+def test_copies_to_cells_are_not_broadcast(spark):
+    df = spark.createDataFrame(sky(100, 9), "id long, x double, y double, z double, p double, l double").select("id", "x", "y", "z", "p")
+    axes = ["x", "y", "z"]
+    for out in (spatial.linked_pairs(df, "id", axes, "p", "sum"), spatial.pairs(df, "id", axes, 0.3), spatial.cross_pairs(df, df, "id", "id", axes, 0.3)):
+        assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("box", [None, [1.0, 1.0], [0.45, 1.0]])
+def test_pairs_by_half_of_the_cells(spark, box):
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(-1, 1) if box is None else rng.uniform(0, box[0]), rng.random()) for i in range(300)] + [(300, None, 0.5), (301, float("nan"), 0.5), (302, 0.25, 0.5), (303, 0.25, 0.5)]
+    gap = lambda a, b, w: abs(a - b) if w is None else min(abs(a - b), w - abs(a - b))
+    near = lambda r, s: math.hypot(*[gap(r[i + 1], s[i + 1], box and box[i]) for i in range(2)]) <= 0.2
+    held = [r for r in rows if r[0] not in (300, 301)]
+    want = sorted((s[0], r[0]) for r in held for s in held if s[0] < r[0] and near(r, s))
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    assert sorted((r["a"], r["b"]) for r in spatial.pairs(df, "id", ["x", "y"], 0.2, box).collect()) == want
+    both = sorted((r["a"], r["b"]) for r in spatial.pairs(df, "id", ["x", "y"], 0.2, box, directed=True).collect())
+    assert both == sorted(want + [(b, a) for a, b in want])
