@@ -80,6 +80,35 @@ def _picked(p: DataFrame, qs: Sequence[float], method: str = "linear") -> DataFr
     return placed.join(F.broadcast(spots), "place").groupBy("q").agg(F.sum(F.col("x") * F.col("share")).alias("value"))
 
 
+def percentiles(p: DataFrame, qs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of ``x`` by the linear rule; None without values.
+
+    Equal values are counted, the counts range-partitioned, and only the partitions that hold a wanted place are summed up in order. ``F.percentile``
+    sends every task's distinct values to one aggregate.
+    """
+    parts = ranged(p.where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n")), [F.col("x")])
+    sizes = sorted((r[0], r[1]) for r in parts.groupBy("__part").agg(F.sum("n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        return [None for _ in qs]
+    spots = {i for q in qs for i in (math.floor((total - 1) * q), math.ceil((total - 1) * q))}
+    held, before = [], 0
+    for part, n in sizes:
+        held += [(part, i, i - before) for i in spots if before <= i < before + n]
+        before += n
+    wanted = p.sparkSession.createDataFrame(held, "__part int, spot long, place long")
+    upto = F.sum("n").over(Window.partitionBy("__part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    run = parts.where(F.col("__part").isin(sorted({h[0] for h in held}))).withColumn("upto", upto)
+    found = run.join(F.broadcast(wanted), "__part").where("place < upto and place >= upto - n")
+    at = {r["spot"]: r["x"] for r in found.select("spot", "x").collect()}
+    out = []
+    for q in qs:
+        place = (total - 1) * q
+        lo, hi = math.floor(place), math.ceil(place)
+        out.append(at[lo] if lo == hi or at[lo] == at[hi] else (hi - place) * at[lo] + (place - lo) * at[hi])
+    return out
+
+
 def weighted_quantile(df: DataFrame, name: str, weight: str, q: float) -> DataFrame:
     """The least value at which the cumulative weight reaches q of the total: equal values are merged first, and sums run within range partitions."""
     p = population(df, name, weight).groupBy("x").agg(F.sum("w").alias("w"))
@@ -125,7 +154,9 @@ def sigma_clip(df: DataFrame, name: str, sigma: float = 3.0, max_rounds: int = 1
     """Mean, median and standard deviation of what lies within sigma deviations of the median, repeated until it holds."""
     p, lo, hi, last = population(df, name).select("x"), -math.inf, math.inf, None
     for rounds in range(max_rounds + 1):
-        r = p.where(F.col("x").between(lo, hi)).agg(F.count("x"), F.avg("x"), F.percentile("x", F.lit(0.5)), F.stddev_pop("x")).first()
+        inside = p.where(F.col("x").between(lo, hi))
+        r = inside.agg(F.count("x"), F.avg("x"), F.stddev_pop("x")).first()
+        r = [r[0], r[1], percentiles(inside, [0.5])[0], r[2]]
         if not r[0] or r[0] == last or rounds == max_rounds:
             return {"count": r[0], "mean": r[1], "median": r[2], "std": r[3], "rounds": rounds}
         last, lo, hi = r[0], max(lo, r[2] - sigma * r[3]), min(hi, r[2] + sigma * r[3])
@@ -193,8 +224,8 @@ def probit_scale(df: DataFrame, name: str, prob: float = 0.25) -> DataFrame:
     if not 0 < prob < 0.5:
         raise ValueError("prob lies between 0 and 0.5")
     wide = -2 * NormalDist().inv_cdf(prob)
-    held = population(df, name)
-    return held.agg(((F.percentile("x", F.lit(1 - prob)) - F.percentile("x", F.lit(prob))) / wide).alias("sigma"))
+    low, high = percentiles(population(df, name), [prob, 1 - prob])
+    return df.sparkSession.createDataFrame([(None if low is None else (high - low) / wide,)], "sigma double")
 
 
 def bucket(x: Column, edges: Sequence[float], right: bool = False) -> Column:

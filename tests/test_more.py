@@ -232,3 +232,25 @@ def test_pairs_by_half_of_the_cells(spark, box):
     assert sorted((r["a"], r["b"]) for r in spatial.pairs(df, "id", ["x", "y"], 0.2, box).collect()) == want
     both = sorted((r["a"], r["b"]) for r in spatial.pairs(df, "id", ["x", "y"], 0.2, box, directed=True).collect())
     assert both == sorted(want + [(b, a) for a, b in want])
+
+
+@pytest.fixture
+def no_percentile(monkeypatch):
+    """Spark's exact percentile gathers all distinct values in one aggregate."""
+
+    def gathered(*args):
+        raise AssertionError("F.percentile")
+
+    monkeypatch.setattr(F, "percentile", gathered)
+
+
+def test_quantiles_of_columns_are_not_gathered(spark, no_percentile):
+    values = [random.Random(2).choice([0.0, 1.5, 2.0, 7.0, 9.25]) + i % 7 for i in range(101)] + [None, float("nan"), -3.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    held = np.array([v for v in values if v is not None and v == v])
+    for prob in (0.25, 0.1):
+        wide = np.quantile(held, 1 - prob) - np.quantile(held, prob)
+        assert stats.probit_scale(df, "v", prob).first()[0] == pytest.approx(wide / (-2 * NormalDist().inv_cdf(prob)), rel=1e-12)
+    assert stats.percentiles(stats.population(df, "v"), [0.0, 1 / 3, 0.5, 1.0]) == pytest.approx(np.quantile(held, [0, 1 / 3, 0.5, 1]), rel=1e-12)
+    assert stats.probit_scale(df.where("v is null"), "v").first()[0] is None
+    assert stats.sigma_clip(df, "v", 50)["median"] == np.median(held)
