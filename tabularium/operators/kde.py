@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numerics import dct2
-from .stats import bin_linear, population
+from .stats import bin_linear, percentiles, population
 
 #: Cells of the improved Sheather-Jones rule, and the order of the derivative that its chain of estimates starts from.
 CELLS, ORDER = 16384, 7
@@ -131,9 +131,10 @@ def bandwidth(df: DataFrame, name: str, rule: str | None = "silverman", weight:
         if found is None or not _resolved(p, h):
             raise ValueError("the improved Sheather-Jones rule finds no bandwidth")
         return adjust * h
-    s, ss, sx, sxx, q1, q3 = p.agg(F.sum(w), F.sum(w * w), F.sum(w * x), F.sum(w * x * x), F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75))).first()
+    s, ss, sx, sxx = p.agg(F.sum(w), F.sum(w * w), F.sum(w * x), F.sum(w * x * x)).first()
     if not s:
         raise ValueError("no value to take a bandwidth from")
+    q1, q3 = percentiles(p, [0.25, 0.75])
     std, n = math.sqrt(max(sxx / s - (sx / s) ** 2, 0) * (s / max(s - ss / s, 1e-300))), s * s / ss
     iqr = (q3 - q1) / 1.349
     spread = min(std, iqr) if iqr > 0 else std

@@ -254,3 +254,10 @@ def test_quantiles_of_columns_are_not_gathered(spark, no_percentile):
     assert stats.percentiles(stats.population(df, "v"), [0.0, 1 / 3, 0.5, 1.0]) == pytest.approx(np.quantile(held, [0, 1 / 3, 0.5, 1]), rel=1e-12)
     assert stats.probit_scale(df.where("v is null"), "v").first()[0] is None
     assert stats.sigma_clip(df, "v", 50)["median"] == np.median(held)
+
+
+def test_bandwidth_gathers_no_values(spark, no_percentile):
+    held = np.array([i % 50 + (i % 7) / 10 for i in range(300)])
+    df = spark.createDataFrame([(float(v),) for v in held], "v double")
+    spread = min(held.std(ddof=1), (np.quantile(held, 0.75) - np.quantile(held, 0.25)) / 1.349)
+    assert kde.bandwidth(df, "v") == pytest.approx(0.9 * spread * 300**-0.2, rel=1e-9)
