@@ -261,3 +261,15 @@ def test_bandwidth_gathers_no_values(spark, no_percentile):
     df = spark.createDataFrame([(float(v),) for v in held], "v double")
     spread = min(held.std(ddof=1), (np.quantile(held, 0.75) - np.quantile(held, 0.25)) / 1.349)
     assert kde.bandwidth(df, "v") == pytest.approx(0.9 * spread * 300**-0.2, rel=1e-9)
+
+
+def test_quantities_share_a_python_process(spark):
+    df = spark.range(6000).select("id", (F.col("id") % 40 / 10).alias("z"))
+    model = Cosmology(70, 0.3)
+    out = model.with_columns(df, "z", ["age", "comoving", "hubble"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1 and out.columns == ["id", "z", "age", "comoving", "hubble"]
+    found = out.toPandas()
+    for q in ("age", "comoving", "hubble"):
+        assert (found[q] == getattr(model, q)(found["z"].to_numpy())).all()
+    assert out.where("z is null").isEmpty() and model.with_columns(df, "z", []).columns == ["id", "z"]
