@@ -189,31 +189,46 @@ def line_of_sight_pairs(
 def knn(df: DataFrame, row: str, axes: Sequence[str], k: int, radius: float) -> DataFrame:
     """``a, rank, b, distance``: the k nearest others of each row, ties to the smaller row.
 
-    Rings of doubled radius are searched for the rows that have fewer than k neighbours so far, until all have k. Rows with
-    a coordinate that is null or not finite take no part.
+    Rings of doubled radius are searched for the rows that have fewer than k neighbours so far, until all have k. The first is ``radius``, or less
+    where the table is so dense that it would hold many more than k. Of rows at one place the k + 1 smallest are all that can be anyone's
+    neighbours, so copies don't meet each other by the square. Rows with a coordinate that is null or not finite take no part.
     """
-    finite = [F.col(a).isNotNull() & (F.abs(F.col(a)) < F.lit(float("inf"))) for a in axes]
-    df = df.where(reduce(Column.__and__, finite)).select(row, *axes)
+    df = df.where(_finite(axes)).select(row, *axes)
     todo, done, total = df, None, df.count()
     want = min(k, total - 1)
     if want < 1:
         return cross_pairs(df.limit(0), df.limit(0), row, row, axes, radius).select("a", F.lit(1).alias("rank"), "b", "distance")
+    first = F.row_number().over(Window.partitionBy(*axes).orderBy(row))
+    there = cut(df.withColumn("__nth", first).where(F.col("__nth") <= k + 1).drop("__nth"))
     order = Window.partitionBy("a").orderBy("distance", "b")
     # beyond the widest extent every row is within the radius
     extent = df.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    radius = _first_radius(there, axes, radius, k + 1, 1e-9 * max(extent))
     for _ in range(1 + max(0, math.ceil(math.log2(max(1.0, len(axes) * max(extent) / radius)))) + 1):
-        near = cross_pairs(todo, df, row, row, axes, radius).where("a != b")
-        ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want)
-        full = ranked.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == want).select("a")
-        part = cut(ranked.join(full, "a", "left_semi").select("a", "rank", "b", "distance"))
+        near = cross_pairs(todo, there, row, row, axes, radius).where("a != b")
+        ranked = cut(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want))
+        full = ranked.where(F.col("rank") == want).select("a")
+        part = ranked.join(full, "a", "left_semi").select("a", "rank", "b", "distance")
         done = part if done is None else done.union(part)
-        todo = cut(todo.join(part.select("a").distinct(), F.col(row) == F.col("a"), "left_anti"))
+        todo = cut(todo.join(full, F.col(row) == F.col("a"), "left_anti"))
         if todo.isEmpty():
             return done
         radius *= 2
     raise RuntimeError("rows are left without neighbours; are the row numbers unique?")
 
 
+def _first_radius(df: DataFrame, axes: Sequence[str], radius: float, rows: int, least: float) -> float:
+    """The radius, or less of it, at which a row shares its cell with some ``rows`` others at most in the mean."""
+    while radius > least:
+        cells, _ = _cells(axes, radius, None)
+        counts = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"))
+        met = counts.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+        if met <= 2 * rows:
+            break
+        radius *= max(0.1, (rows / met) ** (1 / len(axes)))
+    return radius
+
+
 def friends(df: DataFrame, row: str, axes: Sequence[str], linking: float, box: Sequence[float] | None = None, min_size: int = 1) -> DataFrame:
     """``row, group, size``: friends-of-friends groups, labelled by their smallest row."""
     links = pairs(df, row, axes, linking, box).select("a", "b")

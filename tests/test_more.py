@@ -273,3 +273,25 @@ def test_quantities_share_a_python_process(spark):
     for q in ("age", "comoving", "hubble"):
         assert (found[q] == getattr(model, q)(found["z"].to_numpy())).all()
     assert out.where("z is null").isEmpty() and model.with_columns(df, "z", []).columns == ["id", "z"]
+
+
+def test_nearest_meets_few_rows_however_dense(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, 0.5, 0.5) for i in range(400)] + [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(400, 800)] + [(800, 40.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    met, whole = [], spatial.cross_pairs
+
+    def counted(*args):
+        out = whole(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "cross_pairs", counted)
+    got = sorted(tuple(r) for r in spatial.knn(df, "id", ["x", "y"], 3, 2.0).collect())
+    want = []
+    for a, *p in rows:
+        near = sorted((math.sqrt((p[0] - x) * (p[0] - x) + (p[1] - y) * (p[1] - y)), b) for b, x, y in rows if b != a)[:3]
+        want += [(a, i + 1, b, d) for i, (d, b) in enumerate(near)]
+    assert got == want
+    # all pairs within the radius are over a quarter of a million
+    assert sum(met) < 40_000
